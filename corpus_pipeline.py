@@ -1,8 +1,62 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents are cleaned, freed of copies, mixed and encoded, stage by stage."""
 
-STAGES: list = []
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliospark.llm import bpe, copies, lines, mixing, quality
+from foliospark.llm.queries import VOCABULARY, public_tokenizers
+
+#: A line that so large a part of a source's documents have is its boilerplate; sources of fewer documents are left alone.
+LINE_RATIO, LEAST_DOCUMENTS = 0.05, 40
+
+
+def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of ``docs`` that the stage before had, n_chars counted anew."""
+    return docs.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line-first rules keep, without the lines that fail."""
+    judged = quality.judge_texts(docs).filter("kept")
+    return _with_text(judged.withColumn("text", F.col("cleaned")), docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that too many documents of their source share."""
+    return _with_text(lines.drop_boilerplate(docs, "source", "text", LINE_RATIO, LEAST_DOCUMENTS), docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near copies."""
+    return copies.without_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target says."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document of the mix, and the digests that show them lossless."""
+    return bpe.encode_texts(docs.select("doc_id", "source", "lang", "text"), VOCABULARY, public_tokenizers.PATTERN, keep=["doc_id", "source", "lang"])
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("simhash near-dedup", near_dedup), ("mixing", mix_sources), ("byte-level bpe", encode)]
+#: SQL has no SimHash of shingles and no BPE; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet in the shared folder and read again."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        at = f"{shared}/pipeline-{uuid.uuid4().hex}/{i}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+    return docs

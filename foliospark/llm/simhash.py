@@ -8,8 +8,6 @@ them: any pair within the radius agrees there.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -113,34 +111,3 @@ def near_groups(df: DataFrame, shingle: int = 3, radius: int = 2, doc_id: str =
     grouped = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(grouped.join(smallest, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
-
-
-#: Near copies: words in a shingle and the least part of two texts' distinct shingles that both have.
-COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
-#: Passages: about so many words each, ended by a word's hash, so that an edit changes the passages it lies in alone.
-PASSAGE_WORDS, LEAST_PASSAGE_WORDS, MOST_PASSAGE_WORDS = 24, 8, 72
-#: Radius within which passages of two texts count as one.
-PASSAGE_RADIUS = 1
-
-
-def passage_ends(words: list[bytes]) -> list[int]:
-    """Ends of a text's passages, which depend on the words nearby only; a rest that is too short joins the last one."""
-    ends, start = [], 0
-    for i, w in enumerate(words, 1):
-        n = i - start
-        if n >= LEAST_PASSAGE_WORDS and (n == MOST_PASSAGE_WORDS or xxhash.xxh64_intdigest(words[i - 2] + b" " + w, SEED) % (PASSAGE_WORDS - LEAST_PASSAGE_WORDS) == 0):
-            ends.append(i)
-            start = i
-    if start < len(words):
-        ends[-1:] = [len(words)] if ends and len(words) - start < LEAST_PASSAGE_WORDS else [*ends[-1:], len(words)]
-    return ends
-
-
-def sketch(text: str | None) -> tuple[str, list[int]]:
-    """A digest of the text's words, equal for exact copies, and the distinct SimHashes of its passages' shingles."""
-    words = words_of(text)
-    found, start = set(), 0
-    for end in passage_ends(words):
-        found.add(signed(simhash(hashes(words[start:end], COPY_SHINGLE))))
-        start = end
-    return hashlib.sha256(b" ".join(words)).hexdigest(), sorted(found)
