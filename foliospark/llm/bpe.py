@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -20,8 +21,10 @@ from pyspark.sql import types as T
 from .common import map_columns
 
 NEVER = 1 << 60
-#: Pieces whose ids a worker remembers, each of at most CACHED_CHARS characters.
-CACHED_PIECES, CACHED_CHARS = 150_000, 40
+#: Pieces whose ids a worker remembers, twice so many at most, each of at most CACHED_CHARS characters.
+CACHED_PIECES, CACHED_CHARS = 250_000, 40
+#: Prefixes whose last token a worker remembers, of pieces of at most SHORT_BYTES; longer pieces have tables of their own.
+CACHED_PREFIXES, SHORT_BYTES = 400_000, 80
 
 
 class Vocabulary:
@@ -129,22 +132,53 @@ class PrefixTable:
 
 
 class Codec:
-    """Texts to ids and back: a pattern splits the text, each piece is encoded for itself."""
+    """Texts to ids and back: a pattern splits the text, each piece is encoded for itself.
+
+    A prefix's last token hangs on the prefix alone, so pieces that begin alike share one table of prefixes.
+    """
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pieces = vocabulary, regex.compile(pattern).findall
         self._cache: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
+        self._last: dict[bytes, int] = {}
+
+    def last(self, prefix: bytes) -> int:
+        """The last token of a short prefix; only the prefixes that the search comes by are filled in."""
+        known, rank, ok = self._last, self.vocabulary.rank, self.vocabulary.compatible
+        for start in range(max(0, len(prefix) - self.vocabulary.longest), len(prefix)):
+            token = rank.get(prefix[start:])
+            if token is not None:
+                before = prefix[:start]
+                if not start or ok(known[before] if before in known else self.last(before), token):
+                    known[prefix] = token
+                    return token
+        raise ValueError("the vocabulary lacks a byte")
+
+    def _short(self, raw: bytes) -> tuple[int, ...]:
+        if len(self._last) >= CACHED_PREFIXES:
+            self._last.clear()
+        out = []
+        while raw:
+            token = self._last[raw] if raw in self._last else self.last(raw)
+            out.append(token)
+            raw = raw[: -len(self.vocabulary.bytes_of[token])]
+        return tuple(out[::-1])
 
     def piece(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        whole = self.vocabulary.rank.get(raw)
-        ids = (whole,) if whole is not None else tuple(PrefixTable(self.vocabulary, raw).tokens())
+        ids = self._older.get(piece) or self._fresh(piece.encode())
         if len(piece) <= CACHED_CHARS:
             if len(self._cache) >= CACHED_PIECES:
-                self._cache.clear()
+                self._cache, self._older = {}, self._cache
             self._cache[piece] = ids
         return ids
 
+    def _fresh(self, raw: bytes) -> tuple[int, ...]:
+        whole = self.vocabulary.rank.get(raw)
+        if whole is not None:
+            return (whole,)
+        return self._short(raw) if len(raw) <= SHORT_BYTES else tuple(PrefixTable(self.vocabulary, raw).tokens())
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         known = self._cache.get
@@ -156,6 +190,16 @@ class Codec:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
 
 
+def little_endian(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    held = array("I", ids)
+    if held.itemsize != 4:
+        held = array("L", ids)
+    if sys.byteorder == "big":
+        held.byteswap()
+    return held.tobytes()
+
+
 @lru_cache(maxsize=4)
 def _codec(content: bytes, pattern: str) -> Codec:
     """One for a worker process, kept from task to task."""
@@ -180,7 +224,7 @@ def encode_texts(df: DataFrame, vocabulary_path: str, pattern: str, text: str =
             ids = codec.encode(value or "")
             out["n_tokens"].append(len(ids))
             out["ids"].append(ids if with_ids else None)
-            out["ids_sha256"].append(hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())
+            out["ids_sha256"].append(hashlib.sha256(little_endian(ids)).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(codec.decode(ids)).hexdigest())
         return out
 
