@@ -19,12 +19,12 @@ def host_of(url):
 def page_text(html):
     """Column: the text of a page, a line for each block element; script, style, comments and tags left out."""
     text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
-    text = F.regexp_replace(text, r"[\r\n\t ]+", " ")
+    text = F.regexp_replace(F.translate(text, "\r\n\t", "   "), "  +", " ")
     text = F.regexp_replace(text, r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|tr|table|article|section|nav|header|footer|title|head|body|html|blockquote|pre|td)\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(text, r" *\n[ \n]*", "\n"), F.lit("\n "))
+    return F.array_join(F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
 def _key(line):
@@ -35,13 +35,17 @@ def _key(line):
 def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, keys): the keys of each host's boilerplate lines, from (host, lines).
 
-    A page counts once for a line however often it has it. A host has at most (mean lines a page) / ratio such
-    lines, whatever its size, so ``keys`` is short. Only keys are shuffled, counted on the map side before.
+    A page counts once for a line however often it has it, and once for the null key, whose count is the host's page
+    total: one pass counts both. A host has at most (mean lines a page) / ratio such lines, whatever its size, so
+    ``keys`` is short. Only keys are shuffled, counted on the map side before.
     """
-    keyed = pages.select("host", F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: x.rlike(WORD)), _key))).alias("key"))
-    often = keyed.groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") > ratio * least_pages)
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
-    return often.join(totals, "host").filter(F.col("n") > ratio * F.col("pages")).groupBy("host").agg(F.collect_set("key").alias("keys"))
+    keys = F.array_distinct(F.transform(F.filter("lines", lambda x: x.rlike(WORD)), _key))
+    each = F.when(F.col("host").isNotNull(), F.concat(F.array(F.lit(None).cast("struct<a:bigint,b:int>")), keys))
+    counted = pages.select("host", F.explode(each).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
+    often = counted.filter(F.col("n") > F.when(F.col("key").isNull(), least_pages - 1).otherwise(ratio * least_pages))
+    found = often.groupBy("host").agg(F.max(F.when(F.col("key").isNull(), F.col("n"))).alias("pages"), F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "n"))).alias("lines"))
+    shared = F.transform(F.filter("lines", lambda x: x["n"] > ratio * F.col("pages")), lambda x: x["key"])
+    return found.select("host", shared.alias("keys")).filter(F.size("keys") > 0)
 
 
 def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -54,7 +58,7 @@ def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATI
     shuffled, and AQE splits a hot host.
     """
     rows = pages.select(*(F.col(f"`{c}`") for c in pages.columns if c.lower() != "dropped_lines"), F.col(host).alias("__host"), F.split(F.col(text), "\n", -1).alias("__lines"))
-    found = cut(boilerplate(rows.filter("__host IS NOT NULL AND __lines IS NOT NULL").select(F.col("__host").alias("host"), F.col("__lines").alias("lines")), ratio, least_pages))
+    found = cut(boilerplate(rows.select(F.col("__host").alias("host"), F.col("__lines").alias("lines")), ratio, least_pages))
     joined = join_lookup(rows, found.select(F.col("host").alias("__host"), F.col("keys").alias("__keys")), ["__host"], "left")
     kept = F.filter("__lines", lambda x: ~(x.rlike(WORD) & F.array_contains(F.col("__keys"), _key(x))))
     out = joined.withColumn("__kept", F.when(F.col("__keys").isNull(), F.col("__lines")).otherwise(kept))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chaining, lines, matroska, mixing, perspectives, quality, rollups, secrets, simhash
-from .common import read
+from .common import cut, read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -60,7 +60,8 @@ def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read(spark, sf_dir, "pages").select("page_id", lines.host_of(F.col("url")).alias("host"), lines.page_text(F.col("html")).alias("text"))
+    # The texts are read twice, to count lines and to drop them; taking them out of the pages costs far more than storing them.
+    pages = cut(read(spark, sf_dir, "pages").select("page_id", lines.host_of(F.col("url")).alias("host"), lines.page_text(F.col("html")).alias("text")))
     return lines.drop_boilerplate(pages, "host", "text")
 
 
