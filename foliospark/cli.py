@@ -8,6 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .functions.canonical import canonical
+from .lineage import cut
 from .operators import packaging as K
 from .operators import planning as P
 from .operators import verify as V
@@ -25,8 +26,8 @@ def _emit(**record) -> None:
 def _checked(spark: SparkSession, project: Project, inventory: Inventory) -> tuple[int, dict]:
     """The plan's figures, or what stands against it."""
     target = P.Target(str(project.output_dir), project.path_limit, K.MASTER if project.create_master else None)
-    planned = P.planned_members(inventory.accounts, inventory.attachments, target)
-    pairs = P.named_archives(P.indexed(P.archives(inventory.accounts, planned)))
+    planned = cut(P.planned_members(inventory.accounts, inventory.attachments, target))
+    pairs = cut(P.named_archives(P.indexed(P.archives(inventory.accounts, planned))))
     free = files.free_bytes(str(project.output_dir))
     there = any((project.output_dir / r.filename).exists() for r in pairs.select("filename").toLocalIterator()) or project.create_master and (project.output_dir / K.MASTER).exists()
     if there or P.preflight_violations(planned, pairs, target, free).head(1):
@@ -63,7 +64,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         code, found = _checked(spark, project, inventory)
         if code == GOOD and args.command == "validate":
             target = P.Target(str(project.output_dir), project.path_limit, K.MASTER if project.create_master else None)
-            planned = P.planned_members(inventory.accounts, inventory.attachments, target)
+            planned = cut(P.planned_members(inventory.accounts, inventory.attachments, target))
             issues = files.inspect(planned, str(project.source_root), project.max_workers).filter("issue IS NOT NULL")
             if issues.filter("issue <> 'pdf_unchecked'").head(1):
                 code, found = REFUSED, {"status": "INTEGRITY_FAILURE"}

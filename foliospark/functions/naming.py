@@ -15,7 +15,7 @@ from pyspark.sql.column import Column
 #: Characters that a Windows name may not have, control characters apart. A fixed value.
 INVALID = r'<>:"/\\|?*'
 #: Names of devices, whatever follows a dot. A fixed value.
-DEVICES = r"(?iu)^(?:CON|PRN|AUX|NUL|CONIN\$|CONOUT\$|COM[1-9¹²³]|LPT[1-9¹²³])$"
+DEVICES = r"(?:CON|PRN|AUX|NUL|CONIN\$|CONOUT\$|COM[1-9¹²³]|LPT[1-9¹²³])"
 
 
 @F.pandas_udf(T.StringType())
@@ -45,15 +45,17 @@ def stripped(text: Column) -> Column:
 
 
 def safe_component(name: Column, ascii_only: bool = False) -> Column:
-    """``name`` as one component of a Windows path: bad characters become _, ends are trimmed, device names prefixed."""
+    """``name`` as one component of a Windows path: bad characters become _, ends are trimmed, device names prefixed.
+
+    One chain of replacements: an expression that named an earlier step twice would double with every step.
+    """
     clean = F.regexp_replace(name if ascii_only else nfc(name), rf"[{INVALID}\x00-\x1F]|[\uD800-\uDFFF]", "_")
-    clean = F.regexp_replace(stripped(clean), r"[ .]+$", "")
-    clean = F.when(clean == "", F.lit("_")).otherwise(clean)
-    return F.when(is_device(clean), F.concat(F.lit("_"), clean)).otherwise(clean)
+    clean = F.regexp_replace(stripped(clean), r"[ .]+\z", "")
+    return F.regexp_replace(F.regexp_replace(clean, r"\A\z", "_"), rf"(?iu)\A(?={DEVICES} *(?:\.|\z))", "_")
 
 
 def is_device(name: Column) -> Column:
-    return F.regexp_replace(F.substring_index(name, ".", 1), r"[ .]+$", "").rlike(DEVICES)
+    return F.regexp_replace(F.substring_index(name, ".", 1), r"[ .]+$", "").rlike(rf"(?iu)^{DEVICES}$")
 
 
 def utf16_units(text: Column) -> Column:
@@ -80,7 +82,7 @@ def suffix_of(name: Column) -> Column:
 
 
 def stem_of(name: Column) -> Column:
-    return F.when(name.rlike(SUFFIXED), F.regexp_extract(name, SUFFIXED, 1)).otherwise(name)
+    return F.regexp_replace(name, r"(?s)(?<=.)\.[^.]+\z", "")
 
 
 def numbered(stem: Column, n: Column, suffix: Column) -> Column:

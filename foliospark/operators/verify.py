@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import naming as N
 from ..functions.canonical import is_strict_json, strict_object
+from ..lineage import cut
 from ..sources import zips
 from ..sources.files import evidence_of, is_plain_output
 from ..sources.inventory import Inventory
@@ -53,9 +54,9 @@ def archive_violations(spark: SparkSession, output_dir: str, inventory: Inventor
     With ``planned``, members have to be at the planned paths too.
     """
     paths = spark.createDataFrame([(os.path.join(output_dir, n),) for n in names], "path string")
-    entries = zips.entries(paths).cache()
-    found = manifests(entries).cache()
-    expected = P.expected_members(inventory.accounts, inventory.attachments)
+    entries = cut(zips.entries(paths))
+    found = cut(manifests(entries))
+    expected = cut(P.expected_members(inventory.accounts, inventory.attachments))
     order = P.indexed(inventory.accounts.select(*P.PAIR).distinct())
     wrong_head = found.join(order.withColumnsRenamed({"company_id": "c", "division_id": "d", "archive_index": "i"}), (F.col("c") == F.col("company_id")) & (F.col("d") == F.col("division_id")), "left")
     head_ok = F.col("sound") & (F.col("i") == F.col("archive_index")) & (F.col("plan_sha256") == plan_sha) & (F.col("inventory_sha256") == inventory.sha256)
@@ -127,7 +128,7 @@ def verify_job(spark: SparkSession, output_dir: str, inventory: Inventory) -> di
             summary = strict_object(f.read())
     except (OSError, ValueError):
         return failed("summary")
-    expected = P.expected_members(inventory.accounts, inventory.attachments).cache()
+    expected = cut(P.expected_members(inventory.accounts, inventory.attachments))
     ordered = [tuple(r) for r in P.indexed(inventory.accounts.select(*P.PAIR).distinct()).orderBy("archive_index").select(*P.PAIR).toLocalIterator()]
     n = expected.count()
     count = lambda v: type(v) is int and v >= 0
@@ -147,7 +148,7 @@ def verify_job(spark: SparkSession, output_dir: str, inventory: Inventory) -> di
     if found:
         return failed(found[0].rule)
     paths = spark.createDataFrame([(os.path.join(out, x),) for x in names], "path string")
-    heads = manifests(zips.entries(paths)).cache()
+    heads = cut(manifests(zips.entries(paths)))
     keys = ["kind", "account_id", "document_id"]
     if reconcile(expected, listed_members(heads), keys).filter("verdict <> 'ok'").head(1):
         return failed("coverage")

@@ -10,6 +10,7 @@ from pyspark.sql.column import Column
 
 from ..functions.canonical import is_strict_json
 from ..functions.naming import stripped
+from ..lineage import cut
 from ..operators import constraints as C
 
 FILE_FIELDS = {"source_path": "string", "filename": "string", "size_bytes": "bigint", "sha256": "string"}
@@ -82,7 +83,8 @@ def parse(found: DataFrame) -> DataFrame:
 def load(spark: SparkSession, path: str) -> Inventory:
     """The inventory with all violations: of lines, then repeated keys, then attachments without an account."""
     digest = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
-    rows = parse(lines(spark, path))
+    # Everything later on reads these rows, many times in one plan.
+    rows = cut(parse(lines(spark, path)))
     good = rows.filter("diagnosis IS NULL")
     trimmed = lambda n: stripped(F.col(n)).alias(n)
     file = lambda ref: F.struct(*(F.lower(f"{ref}.{n}").alias(n) if n == "sha256" else F.col(f"{ref}.{n}").alias(n) if n == "size_bytes" else stripped(F.col(f"{ref}.{n}")).alias(n) for n in FILE_FIELDS))
