@@ -86,7 +86,8 @@ def plan_bound(pairs: DataFrame, master: bool) -> DataFrame:
 def planned_members(accounts: DataFrame, attachments: DataFrame, target: Target, ascii_only: bool = False) -> DataFrame:
     """All members with archive, path in it and path when unpacked: the whole plan."""
     members = named_members(expected_members(accounts, attachments), ascii_only)
-    pairs = named_archives(indexed(archives(accounts, members).select(*PAIR, "company_name", "division_name")), ascii_only)
+    labels = accounts.groupBy(*PAIR).agg(F.min("company_name").alias("company_name"), F.min("division_name").alias("division_name"))
+    pairs = named_archives(indexed(labels), ascii_only)
     root = F.concat(F.lit(target.root() + "/"), N.stem_of(F.col("filename")))
     pairs = pairs.select(*PAIR, "archive_index", F.col("filename").alias("archive"), root.alias("root"))
     placed = members.join(F.broadcast(pairs) if pairs.count() <= 20_000 else pairs, PAIR)
