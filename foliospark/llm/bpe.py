@@ -22,9 +22,11 @@ from .common import map_columns
 
 NEVER = 1 << 60
 #: Pieces whose ids a worker remembers, twice so many at most, each of at most CACHED_CHARS characters.
-CACHED_PIECES, CACHED_CHARS = 250_000, 40
+CACHED_PIECES, CACHED_CHARS = 120_000, 40
 #: Prefixes whose last token a worker remembers, of pieces of at most SHORT_BYTES; longer pieces have tables of their own.
-CACHED_PREFIXES, SHORT_BYTES = 400_000, 80
+CACHED_PREFIXES, SHORT_BYTES = 200_000, 80
+#: Pairs of tokens that a worker remembers to be compatible or not.
+CACHED_PAIRS = 200_000
 
 
 class Vocabulary:
@@ -35,7 +37,7 @@ class Vocabulary:
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.longest = max(map(len, ranks))
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._compatible: dict[tuple[int, int], bool] = {}
+        self._compatible: dict[int, bool] = {}
 
     @classmethod
     def parse(cls, content: bytes) -> Vocabulary:
@@ -61,11 +63,11 @@ class Vocabulary:
         A merge over the border happens if its rank comes before the merge that takes either of the two away;
         of equal ranks the left one happens first.
         """
-        known = self._compatible.get((a, b))
+        known = self._compatible.get(a << 32 | b)
         if known is None:
-            known = self._compatible[a, b] = self._grow_apart(a, b)
-            if len(self._compatible) > 2_000_000:
-                self._compatible = {}
+            if len(self._compatible) >= CACHED_PAIRS:
+                self._compatible.clear()
+            known = self._compatible[a << 32 | b] = self._grow_apart(a, b)
         return known
 
     def _grow_apart(self, a: int, b: int) -> bool:
