@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..lineage import cut  # noqa: F401
 from ..shipping import ship
 
 #: Words are runs of anything but space and ASCII control white space.
@@ -65,18 +65,6 @@ def to_arrow(kind: T.DataType) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}[kind.simpleString()]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as stored by checkpoint() in the folder that spark.checkpoint.dir names.
-
-    Only where that setting is absent, as in tests, is a temporary folder taken.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint()
-
-
 def join_lookup(big: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join ``big`` to a stored ``lookup``: broadcast if its counted rows are few, else shuffled (AQE splits hot keys)."""
     if lookup.count() <= BROADCAST_ROWS:
