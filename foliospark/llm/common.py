@@ -16,7 +16,9 @@ from ..shipping import ship
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in one Arrow batch; with whole texts in a row this bounds what a Python worker holds.
 ARROW_ROWS = 256
-#: A lookup side is broadcast only if its counted rows are no more than this.
+#: Bytes after which a batch is closed; a longer text is a batch of its own.
+ARROW_BYTES = "16m"
+#: A lookup side is broadcast only if its counted rows, or the entries of its arrays, are no more than this.
 BROADCAST_ROWS = 20_000
 
 
@@ -26,9 +28,10 @@ def native_words(text):
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Before Python code on texts: ships this package, and makes Arrow batches of few rows, so that long texts do not add up."""
+    """Before Python code on texts: ships this package, and makes Arrow batches small in rows and bytes, so that long texts do not add up."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def map_columns(df: DataFrame, inputs: list[str], fn: Callable[..., dict[str, list]], schema: T.StructType, keep: list[str] | None = None) -> DataFrame:
@@ -65,9 +68,13 @@ def to_arrow(kind: T.DataType) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}[kind.simpleString()]
 
 
-def join_lookup(big: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join ``big`` to a stored ``lookup``: broadcast if its counted rows are few, else shuffled (AQE splits hot keys)."""
-    if lookup.count() <= BROADCAST_ROWS:
+def join_lookup(big: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", entries: str | None = None) -> DataFrame:
+    """Join ``big`` to a stored ``lookup``: broadcast if it is counted to be small, else shuffled (AQE splits hot keys).
+
+    Rows are counted, or the entries of the array column ``entries`` where rows differ in length.
+    """
+    counted = lookup.count() if entries is None else lookup.agg(F.coalesce(F.sum(F.size(entries)), F.lit(0))).first()[0]
+    if counted <= BROADCAST_ROWS:
         lookup = F.broadcast(lookup)
     return big.join(lookup, on, how)
 

@@ -41,7 +41,7 @@ def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
         F.col(conv_id).alias("conv_id"), F.floor(F.coalesce(F.col(turn), F.lit(0)) / TURNS).cast("long").alias("piece"), F.col(turn).cast("long").alias("turn"),
         F.coalesce(F.col(role), F.lit("unknown")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    joined = join_lookup(_pieces(rows), cut(_long_dialogues(rows)), ["key", "piece"], "left")
+    joined = join_lookup(_pieces(rows), cut(_long_dialogues(rows)), ["key", "piece"], "left", entries="views")
     own = F.transform(F.array_sort(F.array_distinct(F.filter(F.transform("turns", lambda t: t["role"]), lambda r: r != SYSTEM))), lambda r: F.struct(r.alias("speaker"), F.lit(0).cast("long").alias("char_start")))
     each = joined.select("conv_id", "piece", "turns", F.explode(F.coalesce("views", own)).alias("view"))
     parts = F.transform("turns", lambda t: F.struct(_head(t["role"], F.col("view.speaker")).alias("head"), t["text"].alias("text"), (t["role"] == F.col("view.speaker")).alias("mine")))
