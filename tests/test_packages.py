@@ -236,3 +236,13 @@ def test_streams_of_events(spark, tmp_path):
     query = stream.follow(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), 1, False).writeStream.format("memory").queryName("told").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert {(r.job, r.event_id, r.rule) for r in spark.table("told").collect()} == {("j", 2, "index_repeated"), ("k", 4, "no_start")}
+
+
+def test_windowed_totals_of_a_stream(spark, tmp_path):
+    rows = [("j", "2026-01-01 01:00:00", 5), ("j", "2026-01-01 23:00:00", 7), ("j", "2026-01-02 00:30:00", 1), ("k", "2026-01-01 02:00:00", None)]
+    made = spark.createDataFrame(rows, "job string, at string, size_bytes long").selectExpr("job", "cast(at as timestamp) as ts", "size_bytes")
+    made.coalesce(1).write.parquet(str(tmp_path / "in"))
+    told = stream.totals(spark.readStream.schema(made.schema).parquet(str(tmp_path / "in")), "ts")
+    query = told.writeStream.format("memory").queryName("totals").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {(r.job, r.window.start.day, r.n_events, r.size_bytes) for r in spark.table("totals").collect()} == {("j", 1, 2, 12), ("j", 2, 1, 1), ("k", 1, 1, None)}
