@@ -126,3 +126,27 @@ def test_repeated_rows_and_other_columns(spark):
     assert found.columns == ["doc_id", "text", "node"]
     assert sorted((r.doc_id or 0, r.node) for r in found.collect()) == [(0, "z"), (1, "w"), (1, "x")]
     assert copies.without_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def edited(rng, words, places):
+    """The words with others at so many places, one in each stretch between them."""
+    out, step = list(words), len(words) // places
+    for i in range(places):
+        out[i * step + rng.randrange(5, step - 5)] = "changed" + str(rng.random())
+    return out
+
+
+def kept_by_all_pairs(texts):
+    sets = [shingles(t) for t in texts]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if (both := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - both)]
+    return {i for i, root in roots(range(len(texts)), linked).items() if i == root}
+
+
+def test_copies_that_only_the_original_links_are_all_found(spark):
+    rng = random.Random(21)
+    words = [f"w{rng.random()}" for _ in range(150)]
+    texts = [" ".join(edited(rng, words, 2)) for _ in range(300)]
+    texts.insert(150, " ".join(words))
+    want = kept_by_all_pairs(texts)
+    kept = {r.doc_id for r in copies.without_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == want
