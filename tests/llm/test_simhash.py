@@ -150,3 +150,12 @@ def test_copies_that_only_the_original_links_are_all_found(spark):
     want = kept_by_all_pairs(texts)
     kept = {r.doc_id for r in copies.without_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert kept == want
+
+
+def test_short_texts_with_one_changed_word_are_copies(spark):
+    rng, texts = random.Random(22), []
+    for n in [52, 60] * 60:
+        words = [f"w{rng.random()}" for _ in range(n)]
+        texts += [" ".join(words), " ".join(edited(rng, words, 1))]
+    kept = {r.doc_id for r in copies.without_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == kept_by_all_pairs(texts)
