@@ -30,7 +30,7 @@ HEX_RUN = re.compile(r"[0-9a-f]{24,}")
 #: The kind that the models add, listed last.
 RANDOM = "random"
 #: Candidates for the models.
-CANDIDATE = re.compile(r"[A-Za-z0-9_+=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9_+=/-][A-Za-z0-9_+=/.-]{14,}[A-Za-z0-9_+=/-]")
 #: What a candidate's mean log-likelihood ratio a character has to exceed, in nats.
 THRESHOLD = 0.35
 #: Labelled samples of either kind, and the seed that makes them.
@@ -61,8 +61,8 @@ def samples(n: int = SAMPLES, seed: int = SAMPLE_SEED) -> list[tuple[str, int]]:
     for i in range(n):
         out.append(("".join(rng.choices(pools[i % len(pools)], k=rng.randint(16, 48))), 1))
         parts = rng.choices(PARTS, k=rng.randint(2, 5))
-        style = i % 6
-        word = ("_".join(parts), "-".join(parts), "".join(p.title() for p in parts), parts[0] + "".join(p.title() for p in parts[1:]), "_".join(parts).upper(), "".join(parts))[style]
+        style = i % 8
+        word = ("_".join(parts), "-".join(parts), "".join(p.title() for p in parts), parts[0] + "".join(p.title() for p in parts[1:]), "_".join(parts).upper(), "".join(parts), "/".join(parts), ".".join(parts))[style]
         if rng.random() < 0.25:
             word += rng.choice(("", "_", "-", "v")) + str(rng.randint(0, rng.choice((9, 99, 2030))))
         out.append((word, 0))
@@ -111,14 +111,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def random_spans(text: str, ratio: Ratio, taken: list[tuple[int, int, str]], threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
     """Spans of candidates, apart from the taken ones, that the random model explains better.
 
-    A candidate has a digit and two kinds of letters, or letters and three digits: plain words never are.
+    The ratio decides for all that have a letter; numbers and ruled lines have none.
     """
     out = []
     for m in CANDIDATE.finditer(text):
         token = m[0]
-        digits = sum(map(str.isdigit, token))
-        mixed = token.upper() != token != token.lower()
-        if (digits >= 3 and digits < len(token) or digits and mixed) and ratio.score(token) > threshold and not any(a < m.end() and m.start() < b for a, _, b in taken):
+        if token.upper() != token.lower() and ratio.score(token) > threshold and not any(a < m.end() and m.start() < b for a, _, b in taken):
             out.append((m.start(), len(BASE), m.end()))
     return out
 

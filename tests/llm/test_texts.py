@@ -1,7 +1,9 @@
 """The operators on single texts: line-first cleaning and secret scans."""
 
 import hashlib
+import random
 import re
+import string
 
 import pytest
 
@@ -106,3 +108,18 @@ def test_scanned_rows(spark):
 @pytest.mark.parametrize("n", [1, 3])
 def test_samples_are_labelled_and_repeatable(n):
     assert secrets.samples(n) == secrets.samples(n) and sum(label for _, label in secrets.samples(n)) == n
+
+
+def test_scans_find_whole_random_strings_with_slashes_and_without_digits(spark):
+    rng, rows = random.Random(3), [(-1, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY")]
+    pools = (string.ascii_letters + string.digits + "+/", string.ascii_uppercase + "234567")
+    rows += [(i, "".join(rng.choices(pools[i % 2], k=(20, 24, 40)[i % 3]))) for i in range(600)]
+    table = spark.createDataFrame([(i, f"a key {s} here", s) for i, s in rows], "doc_id long, text string, planted string")
+    found = {r.doc_id: r.spans == f"random:6:{6 + len(r.planted)}" for r in secrets.scan_texts(table).collect()}
+    assert found[-1] and sum(found.values()) >= 0.99 * len(found)
+
+
+def test_paths_dates_and_ruled_lines_are_no_secrets():
+    ratio = secrets.Ratio.train(secrets.samples())
+    for text in ("src/main/java/com/example/handler/RequestHandler.java", "www.example.com/docs/api/v2/index.html", "2024-05-12T10:11:12.123", "-" * 20, "=" * 40, "192.168.100.200/255.255.0.0"):
+        assert secrets.random_spans(text, ratio, []) == []
