@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from foliospark.llm import bpe, copies, lines, mixing, quality
 from foliospark.llm.queries import VOCABULARY, public_tokenizers
 
-#: A line that so large a part of a source's documents have is its boilerplate; sources of fewer documents are left alone.
-LINE_RATIO, LEAST_DOCUMENTS = 0.05, 40
+#: A line that so large a part of a source's documents have is its boilerplate. Of fewer documents than 1 / LINE_RATIO each
+#: single line would be over that part, so such sources are left alone.
+LINE_RATIO, LEAST_DOCUMENTS = 0.05, 20
 
 
 def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from foliospark.llm import lines, mixing, perspectives, rollups
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -177,3 +178,10 @@ def test_unknown_changes_fail_whole(spark, tmp_path, op):
     assert rollup.batches() == []
     with pytest.raises(ValueError):
         rollup.commit("../x", spark.createDataFrame([], KIND))
+
+
+def test_the_pipeline_frees_small_sources_of_shared_lines(spark):
+    rows = [(i, s, f"menu\nown {s} {i}", 0) for s, n in (("a", 39), ("b", 20), ("c", 19)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars long")
+    found = {(r.source, r.doc_id): r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert found == {(s, i): text if s == "c" else f"own {s} {i}" for i, s, text, _ in rows}
