@@ -36,16 +36,20 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST
     """(host, keys): the keys of each host's boilerplate lines, from (host, lines).
 
     A page counts once for a line however often it has it, and once for the null key, whose count is the host's page
-    total: one pass counts both. A host has at most (mean lines a page) / ratio such lines, whatever its size, so
-    ``keys`` is short. Only keys are shuffled, counted on the map side before.
+    total: one pass counts both. A host has at most (mean lines a page) / ratio such lines, whatever its size, and no
+    others are collected, so ``keys`` is short. Only keys are shuffled, counted on the map side before.
     """
+    return over_ratio(pages, ratio, least_pages).groupBy("host").agg(F.collect_list("key").alias("keys"))
+
+
+def over_ratio(pages: DataFrame, ratio: float, least_pages: int) -> DataFrame:
+    """(host, key): the lines that over ``ratio`` of the pages of a host of ``least_pages`` and more have."""
     keys = F.array_distinct(F.transform(F.filter("lines", lambda x: x.rlike(WORD)), _key))
     each = F.when(F.col("host").isNotNull(), F.concat(F.array(F.lit(None).cast("struct<a:bigint,b:int>")), keys))
     counted = pages.select("host", F.explode(each).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
-    often = counted.filter(F.col("n") > F.when(F.col("key").isNull(), least_pages - 1).otherwise(ratio * least_pages))
-    found = often.groupBy("host").agg(F.max(F.when(F.col("key").isNull(), F.col("n"))).alias("pages"), F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "n"))).alias("lines"))
-    shared = F.transform(F.filter("lines", lambda x: x["n"] > ratio * F.col("pages")), lambda x: x["key"])
-    return found.select("host", shared.alias("keys")).filter(F.size("keys") > 0)
+    often = cut(counted.filter(F.col("n") > F.when(F.col("key").isNull(), least_pages - 1).otherwise(ratio * least_pages)))
+    totals = often.filter("key IS NULL").select("host", F.col("n").alias("pages"))
+    return join_lookup(often.filter("key IS NOT NULL"), totals, ["host"]).filter(F.col("n") > ratio * F.col("pages")).select("host", "key")
 
 
 def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:

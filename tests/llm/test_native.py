@@ -185,3 +185,10 @@ def test_the_pipeline_frees_small_sources_of_shared_lines(spark):
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars long")
     found = {(r.source, r.doc_id): r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     assert found == {(s, i): text if s == "c" else f"own {s} {i}" for i, s, text, _ in rows}
+
+
+def test_only_lines_over_the_ratio_are_collected(spark):
+    rows = [("h", ["menu", f"own {i}", f"pair {i // 2}"]) for i in range(40)] + [("small", ["menu"])] * 4
+    pages = spark.createDataFrame(rows, "host string, lines array<string>")
+    assert [r.host for r in lines.over_ratio(pages, 0.3, 5).collect()] == ["h"]
+    assert [(r.host, len(r["keys"])) for r in lines.boilerplate(pages).collect()] == [("h", 1)]
