@@ -4,16 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as stored by checkpoint() in the folder that spark.checkpoint.dir names.
-
-    Only where that setting is absent, as in tests, is a temporary folder taken.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a local session, as in tests, gets a temporary one and any other an error."""
     sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="checkpoints")
+        sc.setCheckpointDir(found)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as stored by checkpoint() in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

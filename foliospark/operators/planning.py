@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import naming as N
 from ..functions.canonical import canonical
 from ..functions.sizing import archive_bound, compressed_bound
+from ..lineage import cut
 from .constraints import CATEGORIES
 from .naming import account_folders, unique_names
 
@@ -84,18 +85,21 @@ def plan_bound(pairs: DataFrame, master: bool) -> DataFrame:
 
 
 def planned_members(accounts: DataFrame, attachments: DataFrame, target: Target, ascii_only: bool = False) -> DataFrame:
-    """All members with archive, path in it and path when unpacked: the whole plan."""
+    """All members with archive, path in it and path when unpacked: the whole plan.
+
+    Members and archives are stored once, as folders are named from the members they then join.
+    """
     members = named_members(expected_members(accounts, attachments), ascii_only)
     labels = accounts.groupBy(*PAIR).agg(F.min("company_name").alias("company_name"), F.min("division_name").alias("division_name"))
-    pairs = named_archives(indexed(labels), ascii_only)
+    pairs = cut(named_archives(indexed(labels), ascii_only))
     root = F.concat(F.lit(target.root() + "/"), N.stem_of(F.col("filename")))
     pairs = pairs.select(*PAIR, "archive_index", F.col("filename").alias("archive"), root.alias("root"))
-    placed = members.join(F.broadcast(pairs) if pairs.count() <= 20_000 else pairs, PAIR)
-    # What is left for an account's name beside the longest of its members, the name standing for one character.
+    placed = cut(members.join(F.broadcast(pairs) if pairs.count() <= 20_000 else pairs, PAIR))
+    # What is left for an account's name beside the longest of its members as named, the name standing for one character.
     prefix = F.concat(N.safe_component(F.col("account_code"), ascii_only), F.lit(" - x"))
-    probe = F.concat_ws("/", "root", "period", prefix, "category", "safe_name")
+    probe = F.concat_ws("/", "root", "period", prefix, "category", "member_name")
     wanted = placed.groupBy(*PAIR, "period", "account_id", "account_code", "account_name").agg(F.least(F.lit(target.path_limit), F.min(F.lit(target.path_limit + 1) - N.utf16_units(probe))).alias("name_units"))
-    folders = account_folders(wanted, ascii_only)
+    folders = account_folders(cut(wanted), ascii_only)
     path = F.concat_ws("/", "period", "folder", "category", "member_name")
     return placed.join(folders, [*PAIR, "account_id"]).withColumn("member_path", path).withColumn("extraction_path", F.concat_ws("/", "root", "member_path"))
 

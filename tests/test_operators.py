@@ -128,3 +128,15 @@ def test_dependencies_and_duplicates_see_nulls(spark):
     rows = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y"), ("b", "z"), (None, "q")], "k string, v string")
     assert [r.k for r in C.dependency_violations(rows, ["k"], "v").collect()] == ["b"]
     assert {(r.k, r.n_rows) for r in C.duplicates(rows, "k").collect()} == {("a", 2), ("b", 2)}
+
+
+def test_accounts_give_up_room_for_numbered_members(spark):
+    file = "struct<source_path string, filename string, size_bytes long, sha256 string>"
+    accounts = spark.createDataFrame([("c", "Co", "d", "Div", "2026-01", "1", "77", "N" * 120, None)], f"company_id string, company_name string, division_id string, division_name string, period string, account_id string, account_code string, account_name string, cover {file}")
+    attached = spark.createDataFrame([("1", f"{i:02}", f"s{i}", "same.pdf", 1, "0") for i in range(11)], "account_id string, document_id string, source_path string, filename string, size_bytes long, sha256 string")
+    target = P.Target("/out", 100, "packages.zip")
+    paths = [r.extraction_path for r in P.planned_members(accounts, attached, target).collect()]
+    assert len(set(paths)) == 11
+    assert max(map(len, paths)) == 100  # "same (11).pdf" is the longest, and it just fits
+    pairs = P.named_archives(P.indexed(P.archives(accounts, P.expected_members(accounts, attached))))
+    assert P.preflight_violations(P.planned_members(accounts, attached, target), pairs, target, 1 << 40).count() == 0
