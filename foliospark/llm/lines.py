@@ -57,18 +57,19 @@ def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATI
 
     Lines are what \\n separates; lines without a word are never dropped. Each row is a page, repeated ones
     included. A null text is left null; rows with a null host, and those of hosts with under ``least_pages``
-    rows, are left as they are. An empty table stays empty. A column ``dropped_lines`` is replaced.
+    rows, are left as they are. An empty table stays empty. A column ``dropped_lines`` is replaced; other columns pass inside
+    a struct, so none can clash.
     The lookup has one short row a host and is broadcast only if its keys are counted to be few; otherwise the join is
     shuffled, and AQE splits a hot host.
     """
-    rows = pages.select(*(F.col(f"`{c}`") for c in pages.columns if c.lower() != "dropped_lines"), F.col(host).alias("__host"), F.split(F.col(text), "\n", -1).alias("__lines"))
-    found = cut(boilerplate(rows.select(F.col("__host").alias("host"), F.col("__lines").alias("lines")), ratio, least_pages))
-    joined = join_lookup(rows, found.select(F.col("host").alias("__host"), F.col("keys").alias("__keys")), ["__host"], "left", entries="__keys")
-    kept = F.filter("__lines", lambda x: ~(x.rlike(WORD) & F.array_contains(F.col("__keys"), _key(x))))
-    out = joined.withColumn("__kept", F.when(F.col("__keys").isNull(), F.col("__lines")).otherwise(kept))
     names = [c for c in pages.columns if c.lower() != "dropped_lines"]
-    dropped = F.coalesce(F.size("__lines") - F.size("__kept"), F.lit(0)).cast("long").alias("dropped_lines")
-    return out.select(*((F.array_join("__kept", "\n").alias(c) if c == text else F.col(f"`{c}`")) for c in names), dropped)
+    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(f"`{host}`").alias("host"), F.split(F.col(f"`{text}`"), "\n", -1).alias("lines"))
+    found = cut(boilerplate(rows.select("host", "lines"), ratio, least_pages))
+    joined = join_lookup(rows, found, ["host"], "left", entries="keys")
+    left = F.filter("lines", lambda x: ~(x.rlike(WORD) & F.array_contains(F.col("keys"), _key(x))))
+    out = joined.select("row", "lines", F.when(F.col("keys").isNull(), F.col("lines")).otherwise(left).alias("left"))
+    dropped = F.coalesce(F.size("lines") - F.size("left"), F.lit(0)).cast("long").alias("dropped_lines")
+    return out.select(*(F.array_join("left", "\n").alias(c) if c == text else F.col("row")[c].alias(c) for c in names), dropped)
 
 
 #: op10 in DuckDB's SQL over ``pages``.
