@@ -1,8 +1,7 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Words are counted per source; each source's target gives its repetition rate; a document comes floor(rate) times
-and once more if its seeded hash falls below the fraction. Of a few seeds each source takes the one whose copies come
-nearest to its target, which matters for sources of few or very unequal documents.
+and once more if its seeded hash falls below the fraction.
 """
 
 from __future__ import annotations
@@ -14,8 +13,7 @@ from .common import cut, join_lookup, native_words
 
 #: Weights that sources take in turn, the share of all words to take, and the most that a source is repeated.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
-#: The seeds that a source chooses from, by number.
-SEED, SEEDS = "mix-1", 16
+SEED = "mix-1"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -47,55 +45,44 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     )
 
 
-def chance(key, seed):
+def chance(key, seed: str = SEED):
     """A number in [0, 1) from the md5 of seed and key: 52 bits, equal wherever md5 is."""
-    text = F.concat_ws("\x1f", seed, F.coalesce(key.cast("string"), F.lit("\x00")))
+    text = F.concat_ws("\x1f", F.lit(seed), F.coalesce(key.cast("string"), F.lit("\x00")))
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def copies(rate, key, number):
-    """How often a document comes: floor(rate), and once more by chance with the seed of this number."""
-    seed = F.concat(F.lit(f"{SEED}-"), number.cast("string"))
-    return (F.floor(rate) + F.when(chance(key, seed) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+def copies(rate, key):
+    """How often a document comes: floor(rate), and once more with the probability that the fraction gives."""
+    return (F.floor(rate) + F.when(chance(key) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def _keyed(rows: DataFrame, source: str) -> DataFrame:
+def _keyed(rows: DataFrame) -> DataFrame:
     """With the source as two columns that are never null."""
-    return rows.withColumns({"__key": F.coalesce(source, F.lit("")), "__none": F.col(source).isNull()})
-
-
-def source_plan(slim: DataFrame, **mix) -> DataFrame:
-    """source_targets of (id, source, size) with ``seed``, the number of the seed whose taken words come nearest to the target."""
-    targets = cut(source_targets(slim, **mix))
-    joined = join_lookup(_keyed(slim, "source"), _keyed(targets, "source").drop("source", "source_size"), ["__key", "__none"])
-    taken = [F.sum(F.col("size") * copies(F.col("rate"), F.col("id"), F.lit(k))).alias(f"__{k}") for k in range(SEEDS)]
-    sums = joined.groupBy("__key", "__none").agg(*taken)
-    # One row a source on both sides.
-    both = _keyed(targets, "source").join(sums, ["__key", "__none"])
-    nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"__{k}") - F.col("target")).alias("off"), F.lit(k).alias("seed")) for k in range(SEEDS))))
-    return both.select("source", "source_size", "target", "rate", nearest["seed"].alias("seed"))
+    return rows.withColumns({"key": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()})
 
 
 def with_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **mix) -> DataFrame:
-    """``docs`` with ``__size``, ``__source_size``, ``__target`` and ``__copies``, how often the mix has each row.
+    """(row, size, source_size, target, copies): each row of ``docs`` as a struct, and how often the mix has it.
 
-    The choice hangs on ids, sizes and seeds alone: reruns agree and rows that repeat an id get the same number. A
-    null text has size 0; a null source is a source; a null id is one more id. An empty table stays empty.
+    The choice hangs on ids, sizes and the seed alone: reruns agree and rows that repeat an id in a source get the same number. A
+    null text has size 0; a null source is a source; a null id is one more id. An empty table stays empty. Other columns pass inside
+    the struct, so none can clash.
     Words are summed per source before the shuffle. The table of targets is stored, counted, and broadcast only
     if it is small; otherwise the join is shuffled, and AQE splits a hot source.
     """
-    sized = docs.withColumns({"__size": native_words(F.col(text)), "__source": F.col(source)})
-    slim = cut(sized.select(F.col(doc_id).alias("id"), F.col("__source").alias("source"), F.col("__size").alias("size")))
-    plan = cut(source_plan(slim, **mix))
-    named = _keyed(plan, "source").select("__key", "__none", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rate").alias("__rate"), F.col("seed").alias("__seed"))
-    joined = join_lookup(_keyed(sized, "__source"), named, ["__key", "__none"])
-    return joined.withColumn("__copies", copies(F.col("__rate"), F.col(doc_id), F.col("__seed"))).drop("__key", "__none", "__source", "__rate", "__seed")
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{source}`").alias("source"), native_words(F.col(f"`{text}`")).alias("size"))
+    targets = cut(_keyed(source_targets(rows.select("source", "size"), **mix)).drop("source"))
+    joined = join_lookup(_keyed(rows).drop("source"), targets, ["key", "none"])
+    return joined.select("row", "size", "source_size", "target", copies(F.col("rate"), F.col("id")).alias("copies"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixed rows: each row of ``docs`` as often as its source's rate says, with its own columns only."""
-    counted = with_copies(docs, **how)
-    return counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest("__copies", F.lit(1))))).filter("__copy <= __copies").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The mixed rows: each row of ``docs`` as often as its source's rate says, with its own columns only.
+
+    Nulls, ties, repeated rows and empty tables are as with_copies says.
+    """
+    counted = with_copies(docs, **how).filter("copies > 0")
+    return counted.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 #: op3 in DuckDB's SQL. The level is the largest that any prefix of stopped sources gives: it falls once the first open one is passed.
@@ -108,9 +95,7 @@ levels AS (SELECT *, (1.5 * (SELECT CAST(sum(source_size) AS BIGINT) FROM totals
   FROM ranked WINDOW w AS (ORDER BY source_size / weight, source IS NULL, source)),
 first AS (SELECT arg_min(level, row(fill, level)) AS level FROM levels WHERE level * weight <= 2.0 * source_size),
 targets AS (SELECT source, source_size, CAST(coalesce(least((SELECT level FROM first) * weight, 2.0 * source_size), 2.0 * source_size) AS DOUBLE) AS target FROM levels),
-rated AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
-tried AS (SELECT *, CAST(size * (floor(rate) + CASE WHEN CAST('0x' || substr(md5('mix-1-' || k || chr(31) || coalesce(CAST(doc_id AS VARCHAR), chr(0))), 1, 13) AS BIGINT) / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-  FROM rated, range(16) AS seeds(k)),
-nearest AS (SELECT source, arg_min(k, row(off, k)) AS k FROM (SELECT source, k, abs(CAST(sum(taken) AS BIGINT) - target) AS off FROM tried GROUP BY source, k, target) GROUP BY source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, taken FROM tried t JOIN nearest n ON t.k = n.k AND t.source IS NOT DISTINCT FROM n.source
+rated AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (floor(rate) + CASE WHEN CAST('0x' || substr(md5('{SEED}' || chr(31) || coalesce(CAST(doc_id AS VARCHAR), chr(0))), 1, 13) AS BIGINT) / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM rated
 """

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import shared_folder
 from . import bpe, chaining, lines, matroska, mixing, perspectives, quality, rollups, secrets, simhash
 from .common import cut, read
 
@@ -24,16 +25,11 @@ def op2_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.with_copies(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
+    return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="rollups")
-    return rollups.replay(read(spark, sf_dir, "documents"), rollups.TokenRollup(spark, f"{shared}/rollup-{uuid.uuid4().hex}"))
+    return rollups.replay(read(spark, sf_dir, "documents"), rollups.TokenRollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,15 @@
 import re
 from collections import Counter, defaultdict
 
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
+from tiktoken.load import load_tiktoken_bpe
 
 import corpus_pipeline
 from foliospark.llm import lines, mixing, perspectives, rollups
+from foliospark.llm.queries import VOCABULARY
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -50,17 +54,25 @@ def test_copies_follow_rates_and_reruns_agree(spark):
     rows = [(i, "hot" if i % 3 else ("cold", None)[i % 2], "w " * (i % 50)) for i in range(3000)] + [(None, None, None), (7, "hot", "w")]
     table = docs(spark, rows)
     found = mixing.with_copies(table).collect()
-    assert len(found) == len(rows) and max(r["__copies"] for r in found) <= 2
+    assert len(found) == len(rows) and max(r.copies for r in found) <= 2
     taken, target = Counter(), {}
     for r in found:
-        taken[r.source] += r["__size"] * r["__copies"]
-        target[r.source] = r["__target"]
+        taken[r.row.source] += r["size"] * r.copies
+        target[r.row.source] = r.target
     assert all(abs(taken[s] - t) < 0.1 * t for s, t in target.items())
-    key = lambda rows: sorted((str(r.doc_id), r.source or "", r["__copies"]) for r in rows)
+    key = lambda rows: sorted((str(r.row.doc_id), r.row.source or "", r.copies) for r in rows)
     assert key(found) == key(mixing.with_copies(table.repartition(7)).collect())
-    assert mixing.mix(table).count() == sum(r["__copies"] for r in found)
+    assert mixing.mix(table).count() == sum(r.copies for r in found)
     assert mixing.mix(docs(spark, [])).count() == 0
-    assert mixing.mix(table.withColumn("__copy", F.lit("mine"))).columns == ["doc_id", "source", "text", "__copy"]
+    names = ["__target", "__rate", "__key", "__source", "__size", "__copy", "row", "size", "target", "rate", "copies", "key", "none", "id", "col"]
+    mixed = mixing.mix(table.select("*", *(F.lit("mine").alias(n) for n in names)))
+    assert mixed.columns == ["doc_id", "source", "text", *names] and mixed.filter(" AND ".join(f"`{n}` = 'mine'" for n in names)).count() == sum(r.copies for r in found)
+
+
+def test_a_copy_more_comes_with_the_probability_of_the_fraction(spark):
+    rows = spark.range(20000).select(F.lit(0.3).alias("a"), F.lit(1.85).alias("b"), "id").select(mixing.copies(F.col("a"), F.col("id")).alias("a"), mixing.copies(F.col("b"), F.col("id")).alias("b"))
+    low, high = rows.agg(F.avg("a"), F.avg("b")).first()
+    assert abs(low - 0.3) < 0.02 and abs(high - 1.85) < 0.02
 
 
 # Line dedup
@@ -83,6 +95,9 @@ def test_lines_by_host(spark):
     found = {r.page_id: (r.text, r.dropped_lines) for r in lines.drop_boilerplate(table, "host", "text").collect()}
     assert [found[i] for i in range(len(rows))] == without_boilerplate(rows, lines.RATIO, lines.LEAST_PAGES)
     assert lines.drop_boilerplate(table.limit(0), "host", "text").count() == 0
+    names = ["__lines", "__host", "__keys", "__kept", "row", "lines", "keys", "left", "key", "n"]
+    more = lines.drop_boilerplate(table.select("*", *(F.lit("mine").alias(n) for n in names)), "host", "text")
+    assert {r.page_id: (r.text, r.dropped_lines) for r in more.filter(" AND ".join(f"`{n}` = 'mine'" for n in names)).collect()} == found
 
 
 def test_pages_become_lines(spark):
@@ -154,10 +169,8 @@ def test_batches_add_up_once(spark, tmp_path):
     second = spark.createDataFrame([("a", "en", "v1", "revise", 7, 10), ("a", "en", "v1", "delete", 5, None), ("b", "en", "v2", "insert", 3, None)], KIND)
     assert rollup.commit("1", first) and not rollup.commit("1", first)
     assert totals(rollup) == {("a", "en", "v1"): (2, 15, 2), (None, None, "v1"): (1, 0, 1)}
-    # A batch that broke off has no mark, counts for nothing and is written anew.
-    broken = tmp_path / "r/batches/2"
-    second.write.parquet(str(broken))
-    (broken / "_SUCCESS").unlink()
+    # A batch that broke off is left among the staged ones, counts for nothing and is written anew.
+    second.write.parquet(str(tmp_path / "r/staged/broken"))
     assert len(totals(rollup)) == 2
     assert rollup.commit("2", second)
     want = {("a", "en", "v1"): (1, 7, 4), (None, None, "v1"): (1, 0, 1), ("b", "en", "v2"): (1, 3, 1)}
@@ -170,6 +183,42 @@ def test_batches_add_up_once(spark, tmp_path):
     assert totals(rollup) == want | {("b", "en", "v2"): (0, 0, 2)}
 
 
+def test_a_batch_committed_while_compacting_counts_once(spark, tmp_path, monkeypatch):
+    rollup = rollups.TokenRollup(spark, str(tmp_path / "r"))
+    first = spark.createDataFrame([("a", "en", "v1", "insert", 10, None)], KIND)
+    second = spark.createDataFrame([("a", "en", "v1", "insert", 1, None)], KIND)
+    rollup.commit("1", first)
+    listed = rollups.TokenRollup._parts
+    monkeypatch.setattr(rollups.TokenRollup, "_parts", lambda self: (listed(self), self.commit("2", second))[0])
+    assert rollup.compact()
+    monkeypatch.undo()
+    assert totals(rollup) == {("a", "en", "v1"): (2, 11, 2)}
+    assert rollup.compact() and not rollup.compact() and totals(rollup) == {("a", "en", "v1"): (2, 11, 2)}
+
+
+def test_of_two_writers_of_a_batch_one_counts(spark, tmp_path, monkeypatch):
+    rollup = rollups.TokenRollup(spark, str(tmp_path / "r"))
+    change = spark.createDataFrame([("a", "en", "v1", "insert", 10, None)], KIND)
+    publish = rollups.TokenRollup._publish
+    monkeypatch.setattr(rollups.TokenRollup, "_publish", lambda self, staged, at: (monkeypatch.undo(), rollup.commit("1", change), publish(self, staged, at))[1:] == (True, False))
+    assert rollup.commit("1", change)  # the other writer came first, and this one saw it
+    assert totals(rollup) == {("a", "en", "v1"): (1, 10, 1)} and rollup.batches() == ["1"]
+    assert not list((tmp_path / "r/staged").iterdir())
+
+
+def test_counts_of_a_real_tokenizer(spark, tmp_path):
+    rows = [("a", "en", "Hello wide world!"), ("a", "en", None), (None, "de", "Grüße, 123 \n\n x")] * 2
+    table = spark.createDataFrame(rows, "source string, lang string, text string")
+    counts = rollups.bpe_counted(table, "byte-bpe-50k", VOCABULARY, public_tokenizers.PATTERN)
+    rollup = rollups.TokenRollup(spark, str(tmp_path / "r"))
+    rollup.commit("1", counts.select("*", F.lit("insert").alias("op"), F.lit(None).cast("long").alias("old_tokens")))
+    coder = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(VOCABULARY), special_tokens={})
+    want = Counter()
+    for s, g, t in rows:
+        want[s, g, "byte-bpe-50k"] += len(coder.encode(t or ""))
+    assert {k: v[1] for k, v in totals(rollup).items()} == want
+
+
 @pytest.mark.parametrize("op", ["upsert", None])
 def test_unknown_changes_fail_whole(spark, tmp_path, op):
     rollup = rollups.TokenRollup(spark, str(tmp_path / "r"))
