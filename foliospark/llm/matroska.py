@@ -60,12 +60,25 @@ def elements(data: bytes, at: int, end: int, unknown_ends: frozenset[int] | set[
 
 
 def _unknown_end(data: bytes, at: int, end: int, kind: int) -> int:
-    """Where an element of unknown size ends: at an element that cannot be its child."""
+    """Where an element of unknown size ends: at an element that cannot be its child.
+
+    Of its children only a cluster in a segment may be of unknown size too; it ends where the next cluster or other child of a
+    segment begins, so that both levels are walked in one pass.
+    """
     ends = {EBML, SEGMENT} if kind == SEGMENT else TOP
-    last = at
-    for _, _, _, last in elements(data, at, end, ends):
-        pass
-    return last
+    while at < end:
+        start = at
+        child, at, _ = vint(data, at, keep_marker=True)
+        if child in ends:
+            return start
+        size, at, _ = vint(data, at)
+        if size >= 0:
+            at += size
+            if at > end:
+                raise MediaError(f"element {child:X} at byte {start} exceeds what holds it")
+        elif kind != SEGMENT or child != CLUSTER:
+            raise MediaError(f"element {child:X} at byte {start} may not be of unknown size")
+    return at
 
 
 def lace_sizes(data: bytes, at: int, end: int, lacing: str) -> tuple[list[int], int]:
@@ -124,10 +137,22 @@ class Media:
     cues: list[tuple[int, int, int]] = field(default_factory=list)
 
 
+#: The largest number and time that a packet table holds.
+LARGEST = (1 << 63) - 1
+
+
 def number(data: bytes, at: int, end: int) -> int:
+    if end - at > 8:
+        raise MediaError(f"the number at byte {at} has over eight bytes")
     return int.from_bytes(data[at:end], "big")
 
 
+def held(value: int) -> int:
+    if abs(value) > LARGEST:
+        raise MediaError(f"a number or time of {value} is out of range")
+    return value
+
+
 def parse(data: bytes) -> Media:
     """The tracks, packets and cues of one file; MediaError if it is none."""
     out, segment_seen = Media(), False
@@ -166,7 +191,7 @@ def parse(data: bytes) -> Media:
                                     raw_cues.append((when, at.get(CUE_TRACK, 0), base + at.get(CUE_CLUSTER, 0)))
     if not segment_seen:
         raise MediaError("there is no segment")
-    out.cues = [(t * out.scale, track, at) for t, track, at in raw_cues]
+    out.cues = [(held(t * out.scale), track, at) for t, track, at in raw_cues]
     return out
 
 
@@ -194,7 +219,7 @@ def _block(data: bytes, a: int, b: int, out: Media, cluster_time: int, block: in
     sizes, at = lace_sizes(data, at + 3, b, lacing)
     about = out.tracks.get(track, {"codec": None, "frame_ns": 0})
     for i, size in enumerate(sizes):
-        out.packets.append(Packet(track, about["codec"], len(out.clusters) - 1, block, i, lacing, bool(flags & 0x80) if keyframe is None else keyframe, (cluster_time + offset) * out.scale + i * about["frame_ns"], at, at + size))
+        out.packets.append(Packet(held(track), about["codec"], len(out.clusters) - 1, block, i, lacing, bool(flags & 0x80) if keyframe is None else keyframe, held((cluster_time + offset) * out.scale + i * about["frame_ns"]), at, at + size))
         at += size
 
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -81,3 +82,23 @@ def test_packet_table(spark):
     assert [(r.row_id, r.track) for r in found if r.error] == [(3, None)]
     one = [r for r in found if r.row_id == 1]
     assert b"".join(data[r.byte_start : r.byte_end] for r in one) == payload(10 * 192) and all(r.cued for r in one)
+
+
+def test_corrupt_bytes_give_error_rows(spark):
+    rng, good = random.Random(17), M.write_samples(payload(40 * 192))
+    late = segment(M.element(M.CLUSTER, M.element(M.TIMESTAMP, b"\xff" * 8) + M.element(M.SIMPLE_BLOCK, block(1, 0))))
+    long = segment(M.element(M.CLUSTER, M.element(M.TIMESTAMP, b"\x01" * 9) + M.element(M.SIMPLE_BLOCK, block(1, 0))))
+    cases = [b"\xa0\xff" * 5000, (0x1F43B675).to_bytes(4, "big") + b"\xff" + b"\xa0\xff" * 5000, (0x18538067).to_bytes(4, "big") + b"\xff" + b"\x1f\x43\xb6\x75\xff" * 3000, late, long]
+    for _ in range(150):
+        data = bytearray(good)
+        for _ in range(rng.randint(1, 6)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        cases.append(bytes(data[: rng.choice((len(data), rng.randrange(len(data))))]))
+    for data in cases:
+        try:
+            M.parse(data)
+        except M.MediaError:
+            pass
+    rows = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(cases)], "doc_id long, media binary")
+    found = M.packet_table(rows).collect()
+    assert {r.row_id for r in found if r.error} >= {0, 1, 3, 4}
