@@ -15,6 +15,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_columns
@@ -46,8 +47,11 @@ PARTS = (
     "result retry return role root route row rule sample schema scope search section select send server service session set shape size sort source "
     "stack start state status step stop store stream string style submit suffix summary sync table target task template test text thread time title "
     "total trace transfer tree type update upload user value vector version view visible wait width window worker write zone "
-    "nicht einheit lichkeit verein schung keiten auch tion ment elle reau vient queux aire dans pour entre adoque ciones mente iendo gando para "
-    "thing ering ation there other every under after would could should which where"
+    "und oder nicht eine dieser werden haben sein durch zwischen arbeit zeit stadt schule freund wasser sprache geschichte verbindung "
+    "avec pour dans sans entre maison travail temps ville jeune histoire langue liberté monde propos question "
+    "para entre sobre trabajo tiempo ciudad amigo nuevo historia lengua mundo palabra cuando siempre "
+    "come quando lavoro tempo nuovo storia lingua parola mondo para como quando trabalho cidade novo palavra mundo "
+    "there other every under after would could should which where being thing people about before between"
 ).split()
 #: Characters with a state of their own; all others share one.
 ALPHABET = {c: i for i, c in enumerate(string.ascii_letters + string.digits + "_+=-/.")}
@@ -114,13 +118,28 @@ def random_spans(text: str, ratio: Ratio, taken: list[tuple[int, int, str]], thr
     The ratio decides for all that have a letter; numbers and ruled lines have none.
     """
     out = []
+    ends = sorted((a, e) for a, _, e in taken)
+    i, reach = 0, 0  # spans that begin before the candidate ends, and how far they go
     for m in CANDIDATE.finditer(text):
         token = m[0]
-        if token.upper() != token.lower() and ratio.score(token) > threshold and not any(a < m.end() and m.start() < b for a, _, b in taken):
+        while i < len(ends) and ends[i][0] < m.end():
+            reach, i = max(reach, ends[i][1]), i + 1
+        if token.upper() != token.lower() and reach <= m.start() and ratio.score(token) > threshold:
             out.append((m.start(), len(BASE), m.end()))
     return out
 
 
+def labelled_rows(rows: DataFrame, text: str = "text", label: str = "label", n: int = SAMPLES) -> list[tuple[str, int]]:
+    """At most ``n`` strings of either label (1 random, 0 ordinary) from a labelled table, to train on: those of the least hashes.
+
+    ``n`` bounds what comes to the driver, whatever the table's size. Null strings and labels other than 0 and 1 are left out;
+    equal rows count as one; an empty table gives an empty list, which trains models that know nothing.
+    """
+    good = rows.select(F.col(f"`{text}`").alias("s"), F.col(f"`{label}`").cast("int").alias("l")).filter("s IS NOT NULL AND l IN (0, 1)").distinct()
+    chosen = [good.filter(F.col("l") == k).orderBy(F.xxhash64("s"), "s").limit(n) for k in (0, 1)]
+    return [(r.s, r.l) for part in chosen for r in part.collect()]
+
+
 def listed(spans: Iterable[tuple[int, int, str]]) -> str:
     names = [*(b[0] for b in BASE), RANDOM]
     return ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(spans))
@@ -129,7 +148,8 @@ def listed(spans: Iterable[tuple[int, int, str]]) -> str:
 def scan_texts(df: DataFrame, text: str = "text", keep: list[str] | None = None, labelled: Iterable[tuple[str, int]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Each row with n_assign, n_access, n_hex, n_random, base_sha256 and ``spans`` (kind:start:end, code points).
 
-    ``labelled`` holds (string, 1 for random or 0 for ordinary); the default is 2 x SAMPLES made ones. A null text
+    ``labelled`` holds (string, 1 for random or 0 for ordinary), as labelled_rows takes them from a table; the default is 2 x SAMPLES made
+    ones. A null text
     is an empty one, without spans. Rows are independent, so repeated rows agree; an empty table gives an empty
     one; other columns pass unless they have one of the new names.
     """

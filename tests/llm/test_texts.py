@@ -1,9 +1,18 @@
 """The operators on single texts: line-first cleaning and secret scans."""
 
+import argparse
+import base64
 import hashlib
+import json
+import logging.handlers
+import math
+import os
 import random
 import re
 import string
+import unittest
+import urllib.request
+from collections import Counter
 
 import pytest
 
@@ -83,6 +92,69 @@ def test_models_tell_random_strings_on_held_out_samples():
     assert right / len(held_out) >= 0.99
 
 
+def by_pairs(labelled):
+    """The ratio with counts in a dictionary, by definition."""
+    states = len(secrets.ALPHABET) + 2
+    counts = {0: Counter(), 1: Counter()}
+    for text, label in labelled:
+        counts[label].update(zip(["start", *(c if c in secrets.ALPHABET else "other" for c in text)], [c if c in secrets.ALPHABET else "other" for c in text], strict=False))
+    before = {k: Counter() for k in counts}
+    for k, c in counts.items():
+        for (a, _), n in c.items():
+            before[k][a] += n
+    log = lambda k, a, b: math.log((counts[k][a, b] + 0.5) / (before[k][a] + 0.5 * states))
+    return lambda text: sum(log(1, a, b) - log(0, a, b) for a, b in zip(["start", *(c if c in secrets.ALPHABET else "other" for c in text)], [c if c in secrets.ALPHABET else "other" for c in text], strict=False)) / max(1, len(text))
+
+
+def test_random_spans_by_brute_force():
+    rng, ratio, slow = random.Random(31), secrets.Ratio.train(secrets.samples()), by_pairs(secrets.samples())
+    inside, ends = set(string.ascii_letters + string.digits + "_+=/.-"), set(string.ascii_letters + string.digits + "_+=/-")
+    for _ in range(60):
+        parts = [rng.choice(["".join(rng.choices(string.ascii_letters + string.digits + "+/", k=rng.randint(8, 50))), "plain", "some_long_identifier_name", "password=" + "q7" * 6, "é", "." * rng.randint(1, 30), "-" * 20, "0123456789" * 3]) for _ in range(rng.randint(1, 30))]
+        text = "".join(p + rng.choice([" ", " ", "", "."]) for p in parts)
+        base, want, i = secrets.base_spans(text), [], 0
+        while i < len(text):
+            stop = i
+            while stop < len(text) and text[stop] in inside:
+                stop += 1
+            if stop == i:
+                i += 1
+                continue
+            a, b = i, stop
+            while a < b and text[a] not in ends:
+                a += 1
+            while b > a and text[b - 1] not in ends:
+                b -= 1
+            if b - a >= 16 and any(c.isalpha() for c in text[a:b]) and slow(text[a:b]) > secrets.THRESHOLD and not any(x < b and a < y for x, _, y in base):
+                want.append((a, 3, b))
+            i = stop
+        assert secrets.random_spans(text, ratio, base) == want
+
+
+def test_held_out_names_and_keys_that_no_generator_of_ours_made():
+    ratio = secrets.Ratio.train(secrets.samples())
+    names = {n for m in (os, string, random, re, hashlib, math, json, unittest, logging.handlers, argparse, urllib.request) for n in (*dir(m), *(f"{m.__name__}.{x}" for x in dir(m)))}
+    plain = sorted(n for n in names if len(n) >= 16)
+    wrong = [n for n in plain if secrets.random_spans(n, ratio, [])]
+    assert len(plain) > 200 and len(wrong) <= 0.02 * len(plain)
+    keys = [f(hashlib.sha256(str(i).encode()).digest()).decode().rstrip("=") for i in range(200) for f in (base64.b64encode, base64.b32encode, base64.b85encode)[:2]]
+    keys += ["".join(random.Random(i).choices(string.ascii_letters, k=24)) for i in range(400)]
+    assert sum(secrets.random_spans(k, ratio, []) == [(0, 3, len(k))] for k in keys) >= 0.98 * len(keys)
+
+
+def test_labelled_rows_train_models(spark):
+    made = secrets.samples(2500, seed=5)
+    table = spark.createDataFrame([*made, *made, (None, 1), ("x", None), ("y", 7)], "text string, label int")
+    taken = secrets.labelled_rows(table, n=2000)
+    assert len(taken) == 4000 == len(set(taken)) and set(taken) <= set(made) and taken == secrets.labelled_rows(table.repartition(5), n=2000)
+    ratio = secrets.Ratio.train(taken)
+    held_out = secrets.samples(500, seed=6)
+    assert sum((ratio.score(s) > secrets.THRESHOLD) == bool(label) for s, label in held_out) >= 0.97 * len(held_out)
+    assert secrets.labelled_rows(table.limit(0)) == []
+    found = secrets.scan_texts(spark.createDataFrame([("Zq8Kx2Lz9VtR4mNw7Yb3Jd6Hc1",)], "text string"), labelled=taken).first()
+    assert found.n_random == 1
+
+
 def test_models_add_spans_and_leave_words_alone():
     ratio = secrets.Ratio.train(secrets.samples())
     text = "key ghp_x8Kq2Lz9VtR4mNw7Yb3Jd6Hc and maxConnectionPoolSize2 in user_account_settings_2024 or internationalization 4737097684299439"
