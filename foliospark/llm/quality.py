@@ -18,16 +18,32 @@ from .common import map_columns
 SYMBOLS = r"[#*$%&|<>]"
 #: A line with more than half as many symbols as words fails.
 SYMBOLS_PER_2_WORDS = 1
-#: A line with so many separators that are words of their own, making up a quarter of its words, is navigation.
+#: A line of more words than this without any mark of a sentence fails: it is a list of words, whatever the language.
+LONG_WORDS, SENTENCE = 20, r"[.,;:!?…。，、！？]"
+#: A line with so many separators that are words of their own, or one that ends in one, is navigation if they make up a quarter of its words.
 SEPARATORS, SEPARATOR_SHARE = 3, 4
 SEPARATOR = r"[|>»·•/\\-]+"
-#: Lines that begin so are boilerplate of web pages.
-BOILERPLATE = r"^\s*(?i:accept all cookies|this site uses cookies|we use cookies|all rights reserved|click here to|sign up for our|subscribe to our|share this (?:article|page|post)|skip to (?:main )?content|javascript (?:is|must be) )"
+#: A line of two or more names of menus and nothing else is navigation. Fixed values, of five languages.
+MENU = (
+    "home|homepage|about|about us|contact|contact us|login|log in|sign in|sign up|register|search|menu|help|faq|sitemap|privacy|privacy policy|terms|cookies|imprint|newsletter|next|previous|back to top|"
+    "startseite|über uns|kontakt|anmelden|registrieren|suche|hilfe|datenschutz|impressum|agb|weiter|zurück|"
+    "accueil|à propos|contactez-nous|connexion|inscription|rechercher|aide|mentions légales|confidentialité|suivant|précédent|"
+    "inicio|sobre nosotros|contacto|iniciar sesión|registrarse|buscar|ayuda|aviso legal|privacidad|siguiente|anterior|"
+    "início|sobre nós|contato|entrar|cadastre-se|ajuda|privacidade|próximo"
+)
+NAVIGATION = rf"^[\t |>»·•/\\-]*(?i:(?:{MENU})(?:[\t\r |>»·•/\\-]+|$)){{2,}}$"
+#: Lines that begin so are boilerplate of web pages. Fixed values, of five languages.
+BOILERPLATE = (
+    r"^[\t ]*(?i:accept all cookies|this site uses cookies|we use cookies|all rights reserved|click here to|sign up for our|subscribe to our|share this (?:article|page|post)|skip to (?:main )?content|"
+    r"javascript (?:is|must be) |alle cookies akzeptieren|diese (?:website|seite) verwendet cookies|wir verwenden cookies|alle rechte vorbehalten|hier klicken|newsletter abonnieren|zum inhalt springen|"
+    r"accepter tous les cookies|ce site utilise des cookies|nous utilisons des cookies|tous droits réservés|cliquez ici|abonnez-vous à|aller au contenu|"
+    r"aceptar todas las cookies|este sitio (?:web )?utiliza cookies|utilizamos cookies|todos los derechos reservados|haga clic aquí|suscríbase a|saltar al contenido|"
+    r"aceitar todos os cookies|este site usa cookies|usamos cookies|todos os direitos reservados|clique aqui|assine nossa|ir para o conteúdo)"
+)
 #: A text that loses more than this percentage of its words' characters is rejected.
 LOST_PERCENT = 30
 
-_symbol, _boilerplate = re.compile(SYMBOLS), re.compile(BOILERPLATE)
-_separator = re.compile(SEPARATOR)
+_symbol, _sentence, _separator, _navigation, _boilerplate = map(re.compile, (SYMBOLS, SENTENCE, SEPARATOR, NAVIGATION, BOILERPLATE))
 _not_in_word = b" \t\n\x0b\x0c\r"
 
 
@@ -35,10 +51,12 @@ def line_fails(line: str, words: list[bytes], symbols: int) -> bool:
     """Whether a rule for punctuation, navigation or boilerplate fails the line, which has words."""
     if 2 * symbols > SYMBOLS_PER_2_WORDS * len(words):
         return True
-    separators = sum(1 for w in words if len(w) < 4 and _separator.fullmatch(w.decode()))
-    if separators >= SEPARATORS and SEPARATOR_SHARE * separators >= len(words):
+    if len(words) > LONG_WORDS and not _sentence.search(line):
         return True
-    return _boilerplate.match(line) is not None
+    places = [i for i, w in enumerate(words, 1) if len(w) < 4 and _separator.fullmatch(w.decode())]
+    if places and (len(places) >= SEPARATORS or places[-1] == len(words)) and SEPARATOR_SHARE * len(places) >= len(words):
+        return True
+    return _navigation.match(line) is not None or _boilerplate.match(line) is not None
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -111,9 +129,11 @@ twice AS (SELECT row_id, pos FROM (SELECT row_id, pos, count(*) OVER (PARTITION
 repeats AS (SELECT row_id, count(DISTINCT p) AS n FROM (SELECT row_id, unnest([pos, pos + 1, pos + 2]) AS p FROM twice) GROUP BY row_id),
 lines AS (SELECT row_id, line, pos, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, len(regexp_extract_all(line, '{SYMBOLS}')) AS s,
     len(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS c,
-    len(list_filter(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: strlen(x) < 4 AND regexp_full_match(x, '{SEPARATOR}'))) AS seps
+    len(list_filter(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: strlen(x) < 4 AND regexp_full_match(x, '{SEPARATOR}'))) AS seps,
+    coalesce(regexp_full_match(regexp_extract_all(line, '[^\x20\x09-\x0D]+')[-1], '{SEPARATOR}') AND strlen(regexp_extract_all(line, '[^\x20\x09-\x0D]+')[-1]) < 4, false) AS open_end
   FROM (SELECT row_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM (SELECT row_id, string_split(text, chr(10)) AS l FROM docs))),
-judged AS (SELECT *, 2 * s > {SYMBOLS_PER_2_WORDS} * n OR (seps >= {SEPARATORS} AND {SEPARATOR_SHARE} * seps >= n) OR regexp_matches(line, '{BOILERPLATE}') AS fails,
+judged AS (SELECT *, 2 * s > {SYMBOLS_PER_2_WORDS} * n OR (n > {LONG_WORDS} AND NOT regexp_matches(line, '{SENTENCE}'))
+    OR ((seps >= {SEPARATORS} OR open_end) AND {SEPARATOR_SHARE} * seps >= n) OR regexp_matches(line, '{NAVIGATION}') OR regexp_matches(line, '{BOILERPLATE}') AS fails,
     row_number() OVER (PARTITION BY row_id, line ORDER BY pos) > 1 AS again FROM lines WHERE n > 0),
 by_doc AS (SELECT row_id, sum(n) AS n_words, sum(c) AS word_chars, sum(s) AS n_symbols, sum(CASE WHEN again THEN 1 ELSE 0 END) AS dups,
     sum(CASE WHEN fails THEN c ELSE 0 END) AS lost FROM judged GROUP BY row_id),

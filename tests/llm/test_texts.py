@@ -17,6 +17,9 @@ from collections import Counter
 import pytest
 
 from foliospark.llm import quality, secrets
+from foliospark.llm.queries import QUERIES
+
+from ..oracle import same
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CLEAN = "\n".join(" ".join(f"{a}{i}{b}" for b in ("ing", "ed", "ly", "ness", "ment", "er", "ism") for a in ("un", "re")) + "." for i in range(12))
@@ -56,6 +59,29 @@ def test_verdicts_and_cleaned_texts():
     assert mixed["kept"] and mixed["cleaned"] == CLEAN + "\n\nLast line of words."
 
 
+@pytest.mark.parametrize(
+    ("line", "fails"),
+    [
+        ("Home About us Contact", True), ("Startseite | Über uns | Impressum", True), ("Accueil » À propos » Mentions légales", True), ("home", False), ("The home of the contact", False),
+        ("  Diese Website verwendet Cookies, um zu helfen.", True), ("Todos los derechos reservados 2024", True), ("Tous droits réservés.", True), ("We said that all rights reserved are ours.", False),
+        ("word " * 21, True), ("word " * 20, False), ("word, " + "word " * 30, False), ("Products |", True), ("one two three four five six seven eight |", False), ("a >> b >> c >> d", True),
+        ("*** a ### b", True), ("He paid $5 for it, and left.", False),
+    ],
+)
+def test_line_rules(line, fails):
+    words = line.encode().split()
+    assert quality.line_fails(line, words, len(re.findall(quality.SYMBOLS, line))) == fails
+    assert quality.judge(CLEAN + "\n" + line)["cleaned"] == CLEAN + ("" if fails else "\n" + line)
+
+
+def test_line_rules_agree_with_sql(spark, tmp_path):
+    made = ["Home About us Contact", "Startseite | Über uns | Impressum\r", "home", "word " * 21, "word, " + "word " * 30, "Products |", "x |", "one two three four |", "All Rights Reserved", "TODOS LOS DERECHOS reservados", " » home \t menu", "CONTACTEZ-NOUS / AIDE", "", " "]
+    rows = [(i, "\n".join([CLEAN, *made[: i + 1]])) for i in range(len(made))] + [(100 + i, "\n".join(made[i:])) for i in range(len(made))]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "made"))
+    next((tmp_path / "made").glob("part-*.parquet")).rename(tmp_path / "documents.parquet")
+    assert same(spark, QUERIES["op7_line_first"], quality.SQL, str(tmp_path))
+
+
 def test_judged_rows(spark):
     table = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(TEXTS)] + [(3, CLEAN, "mine")], "doc_id long, text string, KEPT string")
     found = quality.judge_texts(table).collect()
