@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,3 +26,9 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the files of shuffles that no frame needs any more: Spark's cleaner does so once the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
