@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..lineage import cut  # noqa: F401
+from ..lineage import cut, release  # noqa: F401
 from ..shipping import ship
 
 #: Words are runs of anything but space and ASCII control white space.

@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import pytest
 
@@ -7,6 +8,19 @@ from foliospark.llm import copies, quality
 from foliospark.llm.queries import ORACLE_SQL, QUERIES
 
 from ..oracle import SF, same
+from .test_native import WORD, filled, without_boilerplate
+from .test_simhash import roots, shingles
+
+
+def mixed(rows):
+    """How often each id comes: the rate's whole part, and once more if its md5 says so."""
+    sizes = Counter()
+    for _, source, text in rows:
+        sizes[source] += len(WORD.findall(text))
+    rates = {s: t / sizes[s] if sizes[s] else 0 for s, t in filled(sizes).items()}
+    chance = lambda key: int(hashlib.md5(f"mix-1\x1f{key}".encode()).hexdigest()[:13], 16) / 2**52
+    return {i: int(rates[s]) + (chance(i) < rates[s] - int(rates[s])) for i, s, _ in rows}
+
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -39,8 +53,16 @@ def test_pipeline_stages(spark):
             want = {r.doc_id: quality.judge(r.text)["cleaned"] for r in old if quality.judge(r.text)["kept"]}
             assert {r.doc_id: r.text for r in rows} == want and all(r.n_chars == len(r.text) for r in rows)
         if i == 1:
-            assert len(rows) == len(old)
+            want = without_boilerplate([(r.source, r.text) for r in old], corpus_pipeline.LINE_RATIO, corpus_pipeline.LEAST_DOCUMENTS)
+            assert {r.doc_id: r.text for r in rows} == {r.doc_id: text for r, (text, _) in zip(old, want, strict=True)}
+        if i == 3:
+            assert Counter(r.doc_id for r in rows) == Counter(mixed([(r.doc_id, r.source, r.text) for r in old]))
+            texts = {r.doc_id: r.text for r in old}
+            assert all(r.text == texts[r.doc_id] for r in rows)
         if i == 2:
+            sets = [shingles(r.text) for r in old]
+            links = [(old[i].doc_id, old[j].doc_id) for i in range(len(sets)) for j in range(i) if (both := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - both)]
+            assert {r.doc_id for r in rows} == {i for i, root in roots([r.doc_id for r in old], links).items() if i == root}
             digests = [copies.sketch(r.text)[0] for r in rows]
             assert len(set(digests)) == len(digests) and {copies.sketch(r.text)[0] for r in old} >= set(digests)
         if i == 4:
