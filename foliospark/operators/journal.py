@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EVENTS = ("START", "ARCHIVE_VERIFIED", "MASTER_VERIFIED", "COMPLETE")
-#: Events of a journal that are looked at as one block; blocks are summed up before journals are.
-BLOCK = 4096
 
 
 def sequence_violations(events: DataFrame, scope: str, order: list[str], archive_count: int, master_expected: bool) -> DataFrame:
@@ -53,7 +51,8 @@ def state(events: DataFrame, scope: str, order: list[str]) -> DataFrame:
 def resume_conflicts(recorded: DataFrame, planned: DataFrame) -> DataFrame:
     """(field) for each of two one-row tables' common columns that differ: plan and inventory digests, counts, master."""
     fields = [c for c in planned.columns if c in recorded.columns]
-    both = recorded.select(*(F.col(c).alias(f"r_{c}") for c in fields)).join(planned.select(*(F.col(c).alias(f"p_{c}") for c in fields)), F.lit(True))
+    one = F.lit(1).alias("one")
+    both = recorded.select(one, *(F.col(c).alias(f"r_{c}") for c in fields)).join(planned.select(one, *(F.col(c).alias(f"p_{c}") for c in fields)), "one")
     wrong = F.array_compact(F.array(*(F.when(~F.col(f"r_{c}").eqNullSafe(F.col(f"p_{c}")), F.lit(c)) for c in fields)))
     return both.select(F.explode(wrong).alias("field"))
 

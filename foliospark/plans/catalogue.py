@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import naming as N
 from ..functions import redaction as R
-from ..functions.canonical import is_strict_json, to_canonical_json
+from ..functions.canonical import is_strict_json
 from ..functions.sizing import compressed_bound
+from ..lineage import cut, shared_folder
 from ..operators import constraints as C
 from ..operators import evidence as E
 from ..operators import journal as J
+from ..operators import packaging as K
 from ..operators import planning as P
 from ..operators.naming import unique_names
 from . import fixtures as X
@@ -83,10 +89,11 @@ def archive_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def archives_including_empty(spark: SparkSession, d: str) -> DataFrame:
-    # Covers are left out and attachments cut to a week, so that some pairs have no member at all.
-    shipped = X.read(spark, d, "lineitem").filter("l_shipdate >= '1995-06-01' AND l_shipdate < '1995-06-08'").select(F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("document_id")).distinct()
-    bare = X.accounts(spark, d).withColumn("cover", F.lit(None).cast(X.accounts(spark, d).schema["cover"].dataType))
-    some = X.attachments(spark, d).join(shipped, "document_id", "left_semi")
+    # A pair for each customer and segment, without covers and with returned lines only, so that some pairs have no member at all.
+    own = X.accounts(spark, d).withColumn("company_id", F.col("account_code"))
+    bare = own.withColumn("cover", F.lit(None).cast(own.schema["cover"].dataType))
+    returned = X.read(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("document_id")).distinct()
+    some = X.attachments(spark, d).join(returned, "document_id", "left_semi")
     return P.archives(bare, P.expected_members(bare, some)).select(*P.PAIR, "member_count", "bound_bytes")
 
 
@@ -158,13 +165,15 @@ def plan_bound(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    a, t = X.accounts(spark, d), X.attachments(spark, d)
-    planned = P.planned_members(a, t, TARGET, ascii_only=True)
-    return planned, P.named_archives(P.indexed(P.archives(a, P.expected_members(a, t))), ascii_only=True)
+    """The plan's members, stored as several parts of a query read them, and its archives."""
+    a = X.accounts(spark, d)
+    planned = cut(P.planned_members(a, X.attachments(spark, d), TARGET, ascii_only=True))
+    return planned, cut(P.named_archives(P.indexed(P.archives(a, planned)), ascii_only=True))
 
 
 def planned_paths(spark: SparkSession, d: str) -> DataFrame:
-    return _plan(spark, d)[0].select("archive_index", "archive", "account_id", "document_id", "member_path", "extraction_path")
+    planned = P.planned_members(X.accounts(spark, d), X.attachments(spark, d), TARGET, ascii_only=True)
+    return planned.select("archive_index", "archive", "account_id", "document_id", "member_path", "extraction_path")
 
 
 def max_path_units(spark: SparkSession, d: str) -> DataFrame:
@@ -180,7 +189,8 @@ def preflight_violations(spark: SparkSession, d: str) -> DataFrame:
 
 def preflight_summary(spark: SparkSession, d: str) -> DataFrame:
     planned, pairs = _plan(spark, d)
-    return P.plan_bound(pairs, True).join(P.max_path_units(planned, pairs, TARGET), F.lit(True))
+    one = F.lit(1).alias("one")
+    return P.plan_bound(pairs, True).select("*", one).join(P.max_path_units(planned, pairs, TARGET).select("*", one), "one").drop("one")
 
 
 def content_evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -241,8 +251,12 @@ def journal_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resume_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    recorded = _archives(spark, d).agg(F.count("*").alias("archive_count"), F.sum("member_count").alias("member_count"), F.lit(True).alias("master_expected"))
-    planned = _archives(spark, d).agg(F.count("*").alias("archive_count"), (F.sum("member_count") + 1).alias("member_count"), F.lit(False).alias("master_expected"))
+    # What an earlier job recorded: a pair for each customer's nation and segment, a member for each raw line, and a master.
+    pairs = X.read(spark, d, "customer").select("c_nationkey", "c_mktsegment").distinct().agg(F.count("*").alias("archive_count"))
+    lines = X.read(spark, d, "lineitem").agg(F.count("*").alias("member_count"))
+    one = F.lit(1).alias("one")
+    recorded = pairs.select("*", one).join(lines.select("*", one), "one").select("archive_count", "member_count", F.lit(True).alias("master_expected"))
+    planned = P.plan_bound(_archives(spark, d), master=False).select("archive_count", "member_count", F.lit(False).alias("master_expected"))
     return J.resume_conflicts(recorded, planned)
 
 
@@ -288,13 +302,7 @@ def source_path_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def archive_manifest(spark: SparkSession, d: str) -> DataFrame:
-    planned, pairs = _plan(spark, d)
-    member = to_canonical_json(path=F.col("member_path"), account_id=F.col("account_id"), document_id=F.col("document_id"), kind=F.col("kind"), category=F.col("category"), size_bytes=F.col("size_bytes"), sha256=F.col("sha256"))
-    listed = planned.groupBy("archive_index").agg(F.array_sort(F.collect_list(F.struct(F.lower("member_path").alias("k"), F.col("member_path").alias("p"), member.alias("m")))).alias("ms"))
-    joined = pairs.join(listed, "archive_index", "left")
-    members = F.concat(F.lit("["), F.coalesce(F.array_join(F.transform("ms", lambda x: x["m"]), ","), F.lit("")), F.lit("]"))
-    head = F.concat(F.lit('{"archive_index":'), F.col("archive_index").cast("string"), F.lit(',"company_id":"'), F.col("company_id"), F.lit('","division_id":"'), F.col("division_id"), F.lit('","members":'), members, F.lit(',"schema_version":1}'))
-    return joined.select("archive_index", F.length(head).cast("long").alias("manifest_chars"), F.sha2(head, 256).alias("manifest_sha256"))
+    return K.manifest_digests(*_plan(spark, d), "1" * 64, "0" * 64)
 
 
 def plan_fingerprint(spark: SparkSession, d: str) -> DataFrame:
@@ -349,10 +357,78 @@ def inventory_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return parse(a.select(number.alias("line_no"), F.encode(line, "UTF-8").alias("line"))).select("line_no", "record_type", "account_id", "diagnosis")
 
 
+def inventory_file(spark: SparkSession, d: str) -> DataFrame:
+    """Customers written as one file of JSON lines, some of them blank or broken, read back in splits with their line numbers."""
+    from ..sources.inventory import lines, parse
+
+    key = F.col("c_custkey").cast("string")
+    record = F.to_json(F.struct(
+        F.lit("account").alias("record_type"), key.alias("account_id"), F.col("c_nationkey").cast("string").alias("company_id"), F.concat(F.lit("é "), F.col("c_nationkey").cast("string")).alias("company_name"),
+        F.col("c_mktsegment").alias("division_id"), F.col("c_mktsegment").alias("division_name"), F.lit("2026-06").alias("period"), key.alias("account_code"), F.col("c_name").alias("account_name"),
+        F.when(F.col("c_custkey") % 50 == 7, "done").otherwise("pending").alias("status"),
+    ))
+    text = F.when(F.col("c_custkey") % 50 == 3, " \t").when(F.col("c_custkey") % 50 == 5, F.concat(record, F.lit("}"))).otherwise(record)
+    at = f"{shared_folder(spark)}/inventory-{uuid.uuid4().hex}"
+    X.read(spark, d, "customer").select("c_custkey", text.alias("value")).coalesce(1).sortWithinPartitions("c_custkey").select("value").write.text(at)
+    return parse(lines(spark, at)).select("line_no", "account_id", "company_name", "diagnosis")
+
+
+def package_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A whole job over pages: sources and inventory written, read, planned, packed and verified, and every entry read back.
+
+    Each host is an account with an archive of its own, each page an attachment. Files lie in the folder that driver and executors share.
+    """
+    from ..operators import verify as V
+    from ..shipping import ship
+    from ..sources import zips
+    from ..sources.config import Project
+    from ..sources.inventory import load
+
+    ship(spark)
+    at = re.sub("^file:/*", "/", shared_folder(spark)) + f"/job-{uuid.uuid4().hex}"
+    host = F.regexp_extract("url", "://([^/:?#]+)", 1)
+    pages = X.read(spark, d, "pages").select(F.col("page_id").cast("string").alias("document_id"), host.alias("account_id"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+
+    def write(batches):
+        for batch in batches:
+            for name, content in zip(batch["filename"], batch["content"], strict=True):
+                os.makedirs(f"{at}/src", exist_ok=True)
+                with open(f"{at}/src/{name}", "wb") as f:
+                    f.write(content)
+            yield batch.drop(columns="content")
+
+    named = pages.select(F.lit("attachment").alias("record_type"), "document_id", "account_id", F.concat("document_id", F.lit(".html")).alias("filename"), "content").withColumn("source_path", F.col("filename"))
+    full = named.select("record_type", "document_id", "account_id", "source_path", "filename", F.octet_length("content").cast("long").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), "content")
+    files = cut(full.mapInPandas(write, full.drop("content").schema))
+    hosts = files.select("account_id").distinct()
+    about = {"company_id": "account_id", "company_name": "account_id", "account_name": "account_id"}
+    fixed = {"division_id": "pages", "division_name": "Pages", "period": "2026-06", "account_code": "7", "status": "pending"}
+    accounts = hosts.select(F.to_json(F.struct(F.lit("account").alias("record_type"), "account_id", *(F.col(c).alias(n) for n, c in about.items()), *(F.lit(v).alias(n) for n, v in fixed.items()))).alias("value"))
+    accounts.union(files.select(F.to_json(F.struct(*files.columns)))).coalesce(1).write.text(f"{at}/lines")
+    os.makedirs(f"{at}/out")
+    project = Project(Path(f"{at}/lines"), Path(f"{at}/src"), Path(f"{at}/out"))
+    inventory = load(spark, next(str(p) for p in Path(f"{at}/lines").glob("part-*")))
+    K.build(spark, project, inventory)
+    found = V.verify_job(spark, f"{at}/out", inventory)
+    archives = spark.createDataFrame([(str(p),) for p in Path(f"{at}/out").glob("*.zip") if p.name != K.MASTER], "path string")
+    entries = zips.entries(archives).filter(F.col("name") != K.MANIFEST)
+    name = F.element_at(F.split("path", "/"), -1)
+    return entries.select(name.alias("archive"), F.col("name").alias("member_path"), "size_bytes", "sha256", (F.col("crc_ok") & F.lit(found["valid"])).alias("sound"), F.lit(found["member_count"]).cast("long").alias("member_count"))
+
+
+def folded_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Names as keys by normalisation and case folding, the form that names in any script take, beside trimmed ones."""
+    from ..shipping import ship
+
+    ship(spark)
+    padded = F.concat(F.lit("\t "), F.upper("p_name"), F.lit(" \n"))
+    return X.read(spark, d, "part").select("p_partkey", N.key_of(F.upper("p_name")).alias("key"), N.casefolded(F.col("p_type")).alias("kind"), N.stripped(padded).alias("name"))
+
+
 QUERIES = {f.__name__: f for f in (
     archive_bound, tagged_split_counts, status_cover_violations, field_constraint_violations, duplicate_document_ids, orphan_attachments, label_consistency, first_violation, record_diagnosis,
     archive_groups, archive_index, archives_including_empty, planned_members, unique_member_names, unique_archive_names, account_folders, safe_component, device_names, utf16_units, truncated_names,
     number_suffixes, compressed_bounds, plan_bound, planned_paths, max_path_units, preflight_violations, preflight_summary, content_evidence, content_mismatch, duplicate_content,
     coverage_reconciliation, coverage_difference, checkpoint_reconciliation, ordered_listing_difference, name_collisions, journal_sequence_violations, journal_state, resume_conflicts, manifest_keys,
-    sensitive_field_names, pii_presence, redacted_documents, redacted_emails, redacted_records, source_path_rules, archive_manifest, plan_fingerprint, zip_round_trip, inventory_round_trip,
+    sensitive_field_names, pii_presence, redacted_documents, redacted_emails, redacted_records, source_path_rules, archive_manifest, plan_fingerprint, zip_round_trip, inventory_round_trip, inventory_file, package_round_trip, folded_keys,
 )}

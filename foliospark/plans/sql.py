@@ -56,6 +56,29 @@ def quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+def _edges(pattern: str) -> tuple[str, bool, bool]:
+    """A pattern without look-around, which RE2 lacks, its borders as groups before and behind; and whether it has them."""
+    before, behind = "", ""
+    for look, border in ((r"(?<!\d)", r"(^|[^0-9])"), (r"(?<!\w)", r"(^|[^\pL\pM\pN_])"), ("(?<![A-Za-z0-9])", "(^|[^A-Za-z0-9])"), (r"(?<![\w:])", r"(^|[^\pL\pM\pN_:])")):
+        if pattern.startswith(look):
+            before, pattern = border, pattern.removeprefix(look)
+    if pattern.endswith(r"(?!\d)"):
+        behind, pattern = "([^0-9]|$)", pattern.removesuffix(r"(?!\d)")
+    return f"{before}(?:{pattern}){behind}", bool(before), bool(behind)
+
+
+def redacted_sql(text: str) -> str:
+    """The chain of rules; one with a border behind runs twice, as a border that two matches share serves the first alone."""
+    for pattern, put in R.TEXT_RULES:
+        if put != R.MARK:
+            return f"regexp_replace({text}, {quoted(pattern)}, '{put}', 'g')"
+        bare, before, behind = _edges(pattern)
+        put = (r"\1" if before else "") + put + (r"\2" if behind else "")
+        for _ in range(1 + behind):
+            text = f"regexp_replace({text}, {quoted(bare)}, '{put}', 'g')"
+    return text
+
+
 _fields = ("customer", "supplier", "part", "orders", "events", "pages", "conversations", "documents")
 SQL = {
     "archive_bound": _with(ARCHIVES + "-- then\nSELECT * FROM bounds"),
@@ -79,10 +102,10 @@ SELECT * FROM t WHERE diagnosis IS NOT NULL""",
     "archive_groups": _with("SELECT company_id, division_id, count(*) AS n_accounts, count(*) FILTER (WHERE status = 'completed') AS n_completed, min(period) AS first_period, max(period) AS last_period FROM accounts GROUP BY 1, 2"),
     "archive_index": _with("SELECT company_id, division_id, row_number() OVER (ORDER BY company_id, division_id) - 1 AS archive_index FROM (SELECT DISTINCT company_id, division_id FROM accounts)"),
     "archives_including_empty": _with(f"""
-week AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS document_id FROM lineitem WHERE l_shipdate >= '1995-06-01' AND l_shipdate < '1995-06-08')
+returned AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS document_id FROM lineitem WHERE l_returnflag = 'R')
 -- then
-SELECT a.company_id, a.division_id, count(t.document_id) AS member_count, CAST(4096 + count(t.document_id) * 16384 + coalesce(sum({COMPRESSED.format(x="t.size_bytes")}), 0) AS BIGINT) AS bound_bytes
-FROM accounts a LEFT JOIN (SELECT * FROM attachments WHERE document_id IN (SELECT document_id FROM week)) t USING (account_id) GROUP BY 1, 2"""),
+SELECT a.account_code AS company_id, a.division_id, count(t.document_id) AS member_count, CAST(4096 + count(t.document_id) * 16384 + coalesce(sum({COMPRESSED.format(x="t.size_bytes")}), 0) AS BIGINT) AS bound_bytes
+FROM accounts a LEFT JOIN (SELECT * FROM attachments WHERE document_id IN (SELECT document_id FROM returned)) t USING (account_id) GROUP BY 1, 2"""),
     "planned_members": _with("SELECT company_id, division_id, period, account_id, document_id, kind, category, filename, size_bytes FROM members"),
     "unique_member_names": _with(NAMED.strip().rstrip(",") + "-- then\nSELECT account_id, document_id, member_name FROM named WHERE kind = 'attachment'"),
     "unique_archive_names": _with("""SELECT company_id, division_id, company_name || CASE WHEN r = 1 THEN '' ELSE ' (' || r || ')' END || '.zip' AS filename
@@ -145,7 +168,11 @@ ruled AS (SELECT job, event_id, event, CASE WHEN place = 1 AND event <> 'START'
 SELECT * FROM ruled WHERE rule IS NOT NULL"""),
     "journal_state": _with("""SELECT job, count(*) AS n_events, count(*) FILTER (WHERE event = 'ARCHIVE_VERIFIED') AS n_checkpoints, count(*) FILTER (WHERE event = 'MASTER_VERIFIED') AS n_masters, count(*) FILTER (WHERE event = 'COMPLETE') AS n_completes,
 CAST(coalesce(sum(size_bytes) FILTER (WHERE event = 'ARCHIVE_VERIFIED'), 0) AS BIGINT) AS checkpoint_bytes, arg_min(event, row(ts, event_id)) AS first_event, arg_max(event, row(ts, event_id)) AS last_event FROM journal GROUP BY job"""),
-    "resume_conflicts": "SELECT unnest(['member_count', 'master_expected']) AS field",
+    "resume_conflicts": _with("""
+recorded AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)) AS a, (SELECT count(*) FROM lineitem) AS m),
+planned AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT company_id, division_id FROM accounts)) AS a, (SELECT count(*) FROM members) AS m)
+-- then
+SELECT field FROM (SELECT unnest([CASE WHEN r.a <> p.a THEN 'archive_count' END, CASE WHEN r.m <> p.m THEN 'member_count' END, 'master_expected']) AS field FROM recorded r, planned p) WHERE field IS NOT NULL"""),
     "manifest_keys": "SELECT event_id, json_keys(props) = ['k'] AS just_k, json_valid(props) AS strict FROM events",
     "sensitive_field_names": f"""
 WITH c AS (SELECT DISTINCT column_name AS c FROM ({" UNION ALL ".join(f"SELECT column_name FROM (DESCRIBE SELECT * FROM {t})" for t in _fields)})),
@@ -162,9 +189,10 @@ SELECT path, CASE WHEN path = '' THEN 'empty' WHEN contains(path, '\') THEN 'bac
   len(parts) = 4 AND NOT bad AND NOT contains(path, '\') AND NOT contains(path, ':') AS canonical FROM q""",
     "archive_manifest": _with(PLAN + f""",
 listed AS (SELECT archive_index, string_agg({MEMBER_JSON}, ',' ORDER BY lower(member_path), member_path) AS ms FROM plan GROUP BY 1),
-m AS (SELECT i.archive_index, '{{"archive_index":' || i.archive_index || ',"company_id":"' || company_id || '","division_id":"' || division_id || '","members":[' || coalesce(ms, '') || '],"schema_version":1}}' AS j FROM archive_names i LEFT JOIN listed USING (archive_index))
+m AS (SELECT i.archive_index, '{{"archive_index":' || i.archive_index || ',"company_id":"' || company_id || '","division_id":"' || division_id || '","inventory_sha256":"' || repeat('0', 64) || '","members":[' || coalesce(ms, '')
+    || '],"plan_sha256":"' || repeat('1', 64) || '","schema_version":1}}' AS j FROM archive_names i LEFT JOIN listed USING (archive_index))
 -- then
-SELECT archive_index, CAST(len(j) AS BIGINT) AS manifest_chars, sha256(j) AS manifest_sha256 FROM m"""),
+SELECT archive_index, CAST(strlen(j) AS BIGINT) AS manifest_bytes, sha256(j) AS manifest_sha256 FROM m"""),
     "plan_fingerprint": _with(PLAN + f""",
 listed AS (SELECT archive_index, string_agg({PLAN_JSON}, ',' ORDER BY lower(member_path), member_path) AS ms FROM plan GROUP BY 1),
 m AS (SELECT string_agg('{{"company_id":"' || company_id || '","division_id":"' || division_id || '","filename":"' || archive || '","index":' || i.archive_index || ',"members":[' || coalesce(ms, '') || ']}}', ',' ORDER BY i.archive_index) AS j FROM archive_names i LEFT JOIN listed USING (archive_index))
@@ -176,4 +204,15 @@ r AS (SELECT CAST(account_id AS BIGINT) AS n, account_id, status FROM accounts),
 d AS (SELECT n AS line_no, CASE n % 100 WHEN 4 THEN 'invalid_json' WHEN 5 THEN 'invalid_json' WHEN 1 THEN 'unknown_record_type' WHEN 2 THEN 'invalid_status' WHEN 3 THEN CASE WHEN status = 'completed' THEN 'completed_without_cover' END END AS diagnosis, account_id, n FROM r)
 -- then
 SELECT line_no, CASE WHEN n % 100 IN (4, 5) THEN NULL WHEN n % 100 = 1 THEN 'memo' ELSE 'account' END AS record_type, CASE WHEN n % 100 IN (4, 5) THEN NULL ELSE account_id END AS account_id, diagnosis FROM d"""),
+    "inventory_file": """
+WITH c AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS line_no FROM customer WHERE c_custkey IS NOT NULL)
+SELECT line_no, CASE WHEN c_custkey % 50 <> 5 THEN CAST(c_custkey AS VARCHAR) END AS account_id, CASE WHEN c_custkey % 50 <> 5 THEN 'é ' || c_nationkey END AS company_name,
+  CASE WHEN c_custkey % 50 = 5 THEN 'invalid_json' WHEN c_custkey % 50 = 7 THEN 'invalid_status' END AS diagnosis FROM c WHERE c_custkey % 50 <> 3""",
+    "package_round_trip": """
+SELECT regexp_extract(url, '://([^/:?#]+)', 1) || ' - Pages.zip' AS archive, '2026-06/7 - ' || regexp_extract(url, '://([^/:?#]+)', 1) || '/Anexos/' || page_id || '.html' AS member_path,
+  CAST(strlen(coalesce(html, '')) AS BIGINT) AS size_bytes, sha256(coalesce(html, '')) AS sha256, true AS sound, (SELECT count(*) FROM pages) AS member_count FROM pages""",
+    "folded_keys": "SELECT p_partkey, lower(p_name) AS key, lower(p_type) AS kind, upper(p_name) AS name FROM part",
+    "redacted_documents": f"SELECT doc_id, {redacted_sql('text')} AS text FROM documents",
+    "redacted_records": f"""
+SELECT event_id, '{{"event_id":' || event_id || ',"event_type":' || to_json({redacted_sql("event_type")}) || coalesce(',"note":' || to_json({redacted_sql("props")}), '') || ',"user_id":"{R.MARK}"}}' AS record FROM events""",
 }

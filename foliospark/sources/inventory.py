@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
@@ -29,12 +29,28 @@ class Inventory:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    r"""(line_no, line) of one file, as bytes that only \n ends; the rows keep their place by the file's offset order.
+    r"""(line_no, line) of one file, as bytes that only \n ends.
 
-    A file is one row of bytes here, which suits inventories up to the 2 GB of a row.
+    The file is read in splits. A line's number is its place in its split and the lines of the splits before, which are counted first:
+    one short row a split.
     """
-    raw = spark.read.format("binaryFile").load(path)
-    return raw.select(F.posexplode(F.split(F.decode("content", "ISO-8859-1"), "\n", -1)).alias("at", "line")).select((F.col("at") + 1).alias("line_no"), F.encode("line", "ISO-8859-1").alias("line"))
+    block = F.col("_metadata.file_block_start").alias("block")
+    rows = spark.read.option("lineSep", "\n").text(path).select(block, F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("line"))
+    counts = rows.groupBy("block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = cut(counts.withColumn("before", before))
+    return rows.join(F.broadcast(blocks) if blocks.count() <= 20_000 else blocks, "block").select((F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "line")
+
+
+def digest_of(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file's bytes, streamed by the JVM from whatever store holds it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
 
 
 def _text(record: Column, path: str) -> Column:
@@ -82,7 +98,7 @@ def parse(found: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, path: str) -> Inventory:
     """The inventory with all violations: of lines, then repeated keys, then attachments without an account."""
-    digest = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+    digest = digest_of(spark, path)
     # Everything later on reads these rows, many times in one plan.
     rows = cut(parse(lines(spark, path)))
     good = rows.filter("diagnosis IS NULL")
