@@ -132,6 +132,23 @@ def test_repeated_rows_and_other_columns(spark):
     assert copies.without_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_parities_rule_out_no_similar_pair(spark):
+    rng, sets = random.Random(34), []
+    for n in [0, 1, 5, 60, 63, 64, 65, 120, 130, 300, 2000] * 6:
+        base = [rng.getrandbits(64) for _ in range(n)]
+        for part in (0.05, 0.1, 0.15, 0.3):
+            sets.append((base, [rng.getrandbits(64) if rng.random() < part else x for x in base][: n - rng.randrange(n // 8 + 1)]))
+    as_array = lambda x: copies.np.unique(copies.np.array(x, dtype="<u8"))
+    nodes, agree = [], {}
+    for i, (x, y) in enumerate(sets):
+        nodes += [(2 * i, len(set(x)), copies.parities(as_array(x)).tolist()), (2 * i + 1, len(set(y)), copies.parities(as_array(y)).tolist())]
+        agree[2 * i] = len({*x} & {*y}) / max(1, len({*x} | {*y}))
+    found = copies.plausible(spark.createDataFrame([(i, i + 1) for i in agree], "a long, b long"), spark.createDataFrame(nodes, "node long, n long, odd array<long>"))
+    passed = {r.a for r in found.collect()}
+    assert passed >= {i for i, j in agree.items() if j >= 0.8}
+    assert not [i for i in passed if agree[i] < 0.7 and len(sets[i // 2][0]) >= 60]
+
+
 def test_close_simhashes_are_the_first_candidates(spark):
     rng = random.Random(33)
     fps = [rng.getrandbits(64) for _ in range(60)]
