@@ -79,21 +79,20 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
     Inside a bucket two fingerprints within 2 bits differ only where the mask is zero, and both lie within one bit
     of a common word there; and any two within one bit of a common word are within 2. So each member names itself
-    and its one-bit neighbours outside the mask, and members of a name are linked to its smallest one: the rows
-    are linear in the members however large the bucket, and no pairs are made.
+    and its one-bit neighbours outside the mask, and members of a name are linked to its smallest one. A fingerprint
+    makes at most 65 names over all its tables, however large their buckets, and no pairs are made.
     """
     if radius not in (0, 1, 2):
         raise ValueError("links are exact for a radius of 0, 1 or 2")
-    flips = F.array(*(F.array(F.lit(0).cast("long"), *(F.lit(signed(1 << i)) for i in range(BITS) if radius and not m >> i & 1)) for m in masks(radius)))
-    named = (
-        shared_buckets(distinct, radius)
-        .select("fp", F.explode(F.element_at(flips, F.col("table") + 1)).alias("flip"))
-        .select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("name"))
-    )
+    flips = F.array(*(F.lit(signed(1 << i)) for i in range(BITS)))
+    unmasked = F.array(*(F.lit(signed(~m & (1 << BITS) - 1 if radius else 0)) for m in masks(radius)))
+    # The bits that any of its tables leaves out, so that a word named by several tables is one row.
+    free = shared_buckets(distinct, radius).groupBy("fp").agg(F.bit_or(F.element_at(unmasked, F.col("table") + 1)).alias("free"))
+    words = F.concat(F.array("fp"), F.transform(F.filter(flips, lambda b: F.col("free").bitwiseAND(b) != 0), lambda b: F.col("fp").bitwiseXOR(b)))
+    named = free.select("fp", F.explode(words).alias("name"))
     if radius == 1:  # a common name then would allow two bits: keep the names that are fingerprints themselves
         named = named.filter("name <= fp").join(distinct.select(F.col("fp").alias("name")), "name")
         return named.filter("name <> fp").select(F.col("fp").alias("a"), F.col("name").alias("b")).distinct()
-    named = named.distinct()
     first = named.groupBy("name").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
     return named.join(first, "name").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
