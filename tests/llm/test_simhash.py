@@ -132,6 +132,24 @@ def test_repeated_rows_and_other_columns(spark):
     assert copies.without_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_shingles_of_all_texts_are_counted(spark):
+    rng = random.Random(35)
+    usual = " ".join(f"usual{i}" for i in range(9))
+    texts = [" ".join(f"w{rng.random()}" for _ in range(20)) + " " + usual for _ in range(400)] + [usual, None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    counts = copies.shingle_counts(rows)
+    exact = {}
+    for t in texts:
+        for h in copies.shingles_of(simhash.words_of(t)).tolist():
+            exact[h] = exact.get(h, 0) + 1
+    h = copies.np.array(list(exact), dtype="<u8")
+    found = copies.np.take_along_axis(counts, copies.places(h), axis=1).min(axis=0)
+    told = copies.np.round(1000 * copies.np.log2(1 + copies.np.array(list(exact.values()))))
+    assert (found >= told).all() and (found == told).mean() > 0.99
+    assert copies.prefix(h, counts).tolist() == sorted(h.tolist(), key=lambda x: (found[h.tolist().index(x)], x))[: len(h) // 5 + 1]
+    assert (copies.shingle_counts(rows.limit(0)) == 0).all()
+
+
 def test_parities_rule_out_no_similar_pair(spark):
     rng, sets = random.Random(34), []
     for n in [0, 1, 5, 60, 63, 64, 65, 120, 130, 300, 2000] * 6:
